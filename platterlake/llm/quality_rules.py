@@ -200,7 +200,7 @@ f AS (
     length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
-    len(list_filter(ws, x -> NOT regexp_matches(x, '[0-9A-Za-z\x{80}-\x{10FFFF}]'))) AS bare
+    len(list_filter(ws, lambda x: NOT regexp_matches(x, '[0-9A-Za-z\x{80}-\x{10FFFF}]'))) AS bare
   FROM w LEFT JOIN cov USING (rid) LEFT JOIN lc USING (rid)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
