@@ -43,11 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the written table."""
+def materialize(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder (a folder a value of ``by``) and return the written table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,3 +86,17 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     off = np.frombuffer(offsets, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     flat = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     return flat[off[0] : off[-1]], off - off[0]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one message."""
+    return np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+
+
+def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """Arrays of a message, by their types."""
+    sizes, at, out = np.frombuffer(data, "<i8", len(kinds)), 8 * len(kinds), []
+    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out

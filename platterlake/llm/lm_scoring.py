@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize, table, text_blocks, utf8
+from ._shared import materialize, pack, table, text_blocks, unpack, utf8
 from ._words import Words, mix
 from .elias_fano import Trie
 
@@ -136,18 +136,6 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return u, np.bincount(at, counts, len(u)).astype(np.int64)
 
 
-def _blob(*arrays: np.ndarray) -> bytes:
-    return np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-
-
-def _unblob(data: bytes, *kinds: str) -> list[np.ndarray]:
-    sizes, at, out = np.frombuffer(data, "<i8", len(kinds)), 8 * len(kinds), []
-    for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    return out
-
-
 def count_words(rows: DataFrame, shards: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
     """N, V, the most frequent training words with their counts, and pairs that may be frequent."""
 
@@ -159,7 +147,7 @@ def count_words(rows: DataFrame, shards: int) -> tuple[int, int, np.ndarray, np.
             order = np.argsort(shard, kind="stable")
             cut = np.searchsorted(shard[order], np.arange(shards + 1))
             some = [s for s in range(shards) if cut[s] < cut[s + 1]]
-            blobs = [_blob(key[order[cut[s] : cut[s + 1]]], n[order[cut[s] : cut[s + 1]]]) for s in some]
+            blobs = [pack(key[order[cut[s] : cut[s + 1]]], n[order[cut[s] : cut[s + 1]]]) for s in some]
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "data"])
 
         for b in text_blocks(batches, "text"):
@@ -179,10 +167,10 @@ def count_words(rows: DataFrame, shards: int) -> tuple[int, int, np.ndarray, np.
         if len(key):
             yield out(key, n)
         if len(pairs[0]):
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - TaskContext.get().partitionId()], pa.int32()), pa.array([_blob(*pairs)], pa.binary())], ["shard", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - TaskContext.get().partitionId()], pa.int32()), pa.array([pack(*pairs)], pa.binary())], ["shard", "data"])
 
     def total(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        parts = [_unblob(x, "<u8", "<i8") for x in group.column("data").to_pylist()]
+        parts = [unpack(x, "<u8", "<i8") for x in group.column("data").to_pylist()]
         u, n = add_up(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         pair = key[0].as_py() < 0
         sums = (0, 0) if pair else (int(n.sum()), len(u))
@@ -255,10 +243,10 @@ def deal_tokens(batches: Iterator[pa.RecordBatch], counts: Counts, shards: int)
             for s in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
                 w, v = word[cut[s] : cut[s + 1]], context[cut[s] : cut[s + 1]] >> np.uint64(16)
                 new = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                messages.append(_blob(w[new], np.diff(np.append(new, len(w))).astype("<u4"), (v >> np.uint64(16)).astype("<u4"), v.astype("<u2"), row[cut[s] : cut[s + 1]], held))
+                messages.append(pack(w[new], np.diff(np.append(new, len(w))).astype("<u4"), (v >> np.uint64(16)).astype("<u4"), v.astype("<u2"), row[cut[s] : cut[s + 1]], held))
             some = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
             ids = c.ids.cast(pa.int64())
-            head = _blob(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), c.held, c.tokens.astype("<i8"), *sums)
+            head = pack(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), c.held, c.tokens.astype("<i8"), *sums)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([*some, number % shards], pa.int32()),
@@ -276,7 +264,7 @@ def score_shard(group: pa.Table, counts: Counts) -> pa.Table:
     head = group.column("head").to_numpy()
     chunks = group.column("chunk").to_numpy()
     asked = group.filter(pa.array(~head)).column("data")
-    parts = [_unblob(x.as_py(), "<u8", "<u4", "<u4", "<u2", "<u2", "u1") for x in asked]
+    parts = [unpack(x.as_py(), "<u8", "<u4", "<u4", "<u2", "<u2", "u1") for x in asked]
     sizes = np.array([len(p[4]) for p in parts], np.int64)
     out_data = []
     if parts:
@@ -312,7 +300,7 @@ def score_shard(group: pa.Table, counts: Counts) -> pa.Table:
         for a, b in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
             rows, at = np.unique(row[a:b], return_inverse=True)
             s = _sums(len(rows), at, score[a:b], base[a:b], known[a:b])
-            out_data.append(_blob(rows.astype("<u2"), s[0].astype("<f4"), s[1].astype("<f4"), s[2].astype("<u4")))
+            out_data.append(pack(rows.astype("<u2"), s[0].astype("<f4"), s[1].astype("<f4"), s[2].astype("<u4")))
     data = [*out_data, *group.filter(pa.array(head)).column("data").to_pylist()]
     chunk = [*chunks[~head].tolist(), *chunks[head].tolist()]
     return pa.table({"chunk": pa.array(chunk, pa.int64()), "head": pa.array([False] * len(out_data) + [True] * int(head.sum())), "data": pa.array(data, pa.binary())})
@@ -321,11 +309,11 @@ def score_shard(group: pa.Table, counts: Counts) -> pa.Table:
 def join_chunk(group: pa.Table, counts: Counts) -> pa.Table:
     """One row a document from a chunk's head and its shards' sums."""
     head = group.column("head").to_numpy()
-    ids, null, held, tokens, score, base, known = _unblob(group.filter(pa.array(head)).column("data")[0].as_py(), "<i8", "?", "?", "<i8", "<f8", "<f8", "<i8")
+    ids, null, held, tokens, score, base, known = unpack(group.filter(pa.array(head)).column("data")[0].as_py(), "<i8", "?", "?", "<i8", "<f8", "<f8", "<i8")
     score, base, known = score.copy(), base.copy(), known.copy()
     messages = sorted(group.filter(pa.array(~head)).column("data").to_pylist())  # sums of floats in one order
     for x in messages:
-        at, s, b, k = _unblob(x, "<u2", "<f4", "<f4", "<u4")
+        at, s, b, k = unpack(x, "<u2", "<f4", "<f4", "<u4")
         score[at] += s
         base[at] += b
         known[at] += k
