@@ -1,8 +1,8 @@
 """Queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
-from . import byte_bpe, language_id, line_dedup, mixing, near_dedup, quality_rules, telephony
+from . import byte_bpe, language_id, line_dedup, lm_scoring, mixing, near_dedup, quality_bayes, quality_rules, suffix_dedup, telephony
 
-_MODULES = (telephony, mixing, near_dedup, line_dedup, language_id, quality_rules, byte_bpe)
+_MODULES = (telephony, mixing, lm_scoring, suffix_dedup, near_dedup, line_dedup, language_id, quality_bayes, quality_rules, byte_bpe)
 
 
 def queries() -> dict:
