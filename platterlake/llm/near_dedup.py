@@ -6,11 +6,14 @@
    meet in buckets.  The sample is also folded into an odd sketch: each (permutation,
    value) flips one of BITS bits, so the exclusive or of two sketches holds one flip
    for each sample that differs, and its population count estimates the similarity.
-3. In each bucket every class is paired with the bucket's smallest class.  Pairs whose
-   sketches differ too much are dropped, the rest confirmed on the full sets.
+   A second odd sketch folds the whole set: its differing bits are never more than the
+   shingles that only one of two sets has, of which linked sets have at most a seventh
+   of their sizes' sum, so this test drops no link.
+3. In each bucket every class is paired with the one whose buckets hold most classes.
+   Pairs whose sketches differ too much are dropped, the rest confirmed on the full sets.
 4. Confirmed links join classes into components.  Buckets that still hold classes of
    different components are searched again: all pairs across components, in blocks,
-   with the sketch test inside the join, so only likely pairs leave it.  A pair within
+   with the sketch tests inside the join, so only likely pairs leave it.  A pair within
    one component needs no test, as its link would change nothing.
 
 Chances: a pair of similarity 0.75 shares no band with probability 3e-7
@@ -18,8 +21,8 @@ Chances: a pair of similarity 0.75 shares no band with probability 3e-7
 1e-8; both fall quickly with higher similarity.  Nothing else is approximate: a link
 is decided by 100 * intersection >= 75 * union of the full sets.
 
-Scale: groups of copies are aggregated before they are shuffled; a bucket's smallest
-class is a partial aggregate; joins on a hot bucket or class have one row a key on
+Scale: groups of copies are aggregated before they are shuffled; a bucket's center
+is a partial aggregate; joins on a hot bucket or class have one row a key on
 one side, so adaptive execution can split them.  Components are found by hooking and
 pointer jumping on written tables; nothing is collected to the driver but counts.
 
@@ -92,6 +95,12 @@ def odd_sketch(sample: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
+def set_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a whole set."""
+    bit = (mix(shingles + np.uint64(0x0DD)) % np.uint64(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=BITS) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def similarity(flips: np.ndarray) -> np.ndarray:
     """Estimate of the similarity from the number of differing sketch bits."""
     k = BANDS * ROWS
@@ -113,7 +122,7 @@ def _text_key(text: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """From (doc_id, text): doc_id, key (of the text), n, c (name of the set), bands, sketch."""
+    """From (doc_id, text): doc_id, key (of the text), n, c (name of the set), bands, sketch, whole (the set's own sketch)."""
     chosen = docs.select("doc_id", _text_key(F.col("text")).alias("key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +139,13 @@ def features(docs: DataFrame) -> DataFrame:
                     pa.StructArray.from_arrays([pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy())], ["a", "b"]),
                     _longs([none if m is None else band_values(m) for m in samples]),
                     _longs([none if m is None else odd_sketch(m) for m in samples]),
+                    _longs([set_sketch(s) if len(s) else none for s in sets]),
                 ],
-                ["doc_id", "key", "n", "c", "bands", "sketch"],
+                ["doc_id", "key", "n", "c", "bands", "sketch", "whole"],
             )
 
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, key struct<a:bigint,b:bigint>, n bigint, c struct<a:bigint,b:bigint>, bands array<bigint>, sketch array<bigint>")
+    return chosen.mapInArrow(run, f"doc_id {kind}, key struct<a:bigint,b:bigint>, n bigint, c struct<a:bigint,b:bigint>, bands array<bigint>, sketch array<bigint>, whole array<bigint>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -148,19 +158,20 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("c", "text").mapInArrow(run, "c struct<a:bigint,b:bigint>, shingles array<bigint>")
 
 
-def sketches_agree(one: str, two: str) -> Column:
-    flips = F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return flips <= FLIPS
+def _differ(one: Column, two: Column) -> Column:
+    return F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def likely(one: str, two: str) -> Column:
+    """Whether two classes, given as structs (n, sketch, whole), may be linked."""
+    a, b = F.col(one), F.col(two)
+    n = a["n"] + b["n"]
+    sizes = 100 * F.least(a["n"], b["n"]) >= LEVEL * F.greatest(a["n"], b["n"])
+    return sizes & (_differ(a["sketch"], b["sketch"]) <= FLIPS) & (_differ(a["whole"], b["whole"]) * (100 + LEVEL) <= (100 - LEVEL) * n)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (c, d) of classes whose full sets reach the level; ``docs`` has (key, text)."""
-    pairs = materialize(pairs, "near-pairs")
-    asked = pairs.select("c").union(pairs.select(F.col("d").alias("c"))).distinct()
-    texts = classes.join(asked, "c", "left_semi").select("c", "key")
-    # Equal texts share a key: one of them is enough.
-    found = docs.join(texts, "key").select("key", "c", "text").dropDuplicates(["key"])
-    sets = materialize(full_sets(found), "near-sets")
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (c, d) of classes whose full sets reach the level."""
     both = pairs.join(sets, "c").withColumnRenamed("shingles", "one").join(sets.withColumnsRenamed({"c": "d", "shingles": "two"}), "d")
     common = F.size(F.array_intersect("one", "two"))
     return both.where(100 * common >= LEVEL * (F.size("one") + F.size("two") - common)).select("c", "d")
@@ -198,30 +209,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(features(docs), "near-features")
     known = rows.where("n > 0")
-    classes = materialize(known.groupBy("c").agg(F.min("doc_id").alias("label"), F.min(F.struct("key", "sketch", "bands")).alias("one")).select("c", "label", "one.*"), "near-classes")
-    keyed = docs.select(_text_key(F.col("text")).alias("key"), "text")
+    one = F.min(F.struct("key", "n", "sketch", "whole", "bands")).alias("one")
+    classes = materialize(known.groupBy("c").agg(F.min("doc_id").alias("label"), one).select("c", "label", "one.*"), "near-classes")
+    about = classes.select("c", F.struct("n", "sketch", "whole").alias("about"))
 
     members = classes.select("c", F.explode("bands").alias("v"))
-    centers = members.groupBy("v").agg(F.min("c").alias("d"), F.count("*").alias("size")).where("size > 1")
-    members = materialize(members.join(centers, "v"), "near-buckets")
-    sketch = classes.select("c", "sketch")
-    other = sketch.withColumnsRenamed({"c": "d", "sketch": "sketch2"})
-    stars = members.where("c != d").select("c", "d").distinct().join(sketch, "c").join(other, "d").where(sketches_agree("sketch", "sketch2")).select("c", "d")
-    edges = materialize(confirm(stars, keyed, classes), "near-edges")
+    sizes = members.groupBy("v").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(members.join(sizes, "v"), "near-buckets")
+    met = members.groupBy("c").agg(F.sum("size").alias("met"))
+    # Equal texts share a key: one of them has the set.
+    texts = docs.select(_text_key(F.col("text")).alias("key"), "text").join(classes.join(met, "c", "left_semi").select("key", "c"), "key")
+    sets = materialize(full_sets(texts.dropDuplicates(["key"])), "near-sets")
+
+    centers = members.join(met, "c").groupBy("v").agg(F.max(F.struct("met", "c"))["c"].alias("d"))
+    stars = members.select("v", "c").join(centers, "v").where("c != d").select("c", "d").distinct()
+    stars = stars.join(about, "c").join(about.withColumnsRenamed({"c": "d", "about": "other"}), "d").where(likely("about", "other")).select("c", "d")
+    edges = materialize(confirm(stars, sets), "near-edges")
     labels = components(edges)
 
-    # Buckets that hold classes of several components, without their centers, which have met all others.
-    rest = members.where("c != d").join(labels, "c", "left").select("v", "c", F.coalesce("root", "c").alias("root"))
+    # Buckets that hold classes of several components.
+    rest = members.join(labels, "c", "left").select("v", "c", F.coalesce("root", "c").alias("root"))
     open_ = rest.groupBy("v").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("v", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rest = rest.join(open_, "v").join(sketch, "c").withColumn("block", F.pmod(F.xxhash64("c", "v"), F.col("blocks")).cast("int"))
+    rest = rest.join(open_, "v").join(about, "c").withColumn("block", F.pmod(F.xxhash64("c", "v"), F.col("blocks")).cast("int"))
     rest = materialize(rest, "near-rest")
     if not rest.isEmpty():
-        # Blocks i <= j of a bucket meet once: a row goes to (i, its block) and (its block, j).
-        one = rest.select("v", "c", "root", "sketch", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
-        two = rest.select("v", F.col("c").alias("d"), F.col("root").alias("root2"), F.col("sketch").alias("sketch2"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
-        met = one.join(two, ["v", "i", "j"]).where((F.col("root") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("c") < F.col("d"))) & sketches_agree("sketch", "sketch2"))
-        more = confirm(met.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct(), keyed, classes)
-        more = materialize(more, "near-more")
+        # Blocks i <= j of a bucket meet once: a row goes to (its block, j) and to (i, its block).
+        one = rest.select("v", "c", "root", "about", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
+        two = rest.select("v", F.col("c").alias("d"), F.col("root").alias("root2"), F.col("about").alias("other"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
+        pairs = one.join(two, ["v", "i", "j"]).where((F.col("root") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("c") < F.col("d"))) & likely("about", "other"))
+        more = materialize(confirm(pairs.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct(), sets), "near-more")
         if not more.isEmpty():
             labels = components(edges.union(more))
 

@@ -153,6 +153,8 @@ def test_sketch_estimates_high_similarity():
             flips.append(int(np.bitwise_count(near_dedup.odd_sketch(a) ^ near_dedup.odd_sketch(b)).sum()))
             error.append(near_dedup.similarity(flips[-1]) - j)
             assert set(near_dedup.band_values(a)) & set(near_dedup.band_values(b))
+            apart = len(one) + len(two) - 2 * len(both)
+            assert np.bitwise_count(near_dedup.set_sketch(one) ^ near_dedup.set_sketch(two)).sum() <= apart <= (len(one) + len(two)) / 7
         assert abs(np.mean(error)) < 0.03 and max(flips) <= near_dedup.FLIPS
 
 
