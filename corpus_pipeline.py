@@ -9,12 +9,13 @@ that its predecessor kept.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platterlake.llm import byte_bpe, language_id, line_dedup, mixing, near_dedup
-from platterlake.llm._shared import materialize, table
+from platterlake.llm._shared import materialize, release, scope, table
 
 #: Confidence under which a language is not accepted.
 MIN_SCORE = 0.35
@@ -22,7 +23,22 @@ MIN_SCORE = 0.35
 #: No SQL can express the language model, the schedule of the mix or BPE.
 ORACLE_SQL = None
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def own_tables(stage: Stage) -> Stage:
+    """Deletes the working tables of the stage before, whose result has been written by now, and keeps this one's apart."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "stage")
+        with scope("stage"):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@own_tables
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (no text, no letters, no clear evidence); fills in a missing ``lang``.
 
@@ -34,6 +50,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
+@own_tables
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated line runs; a document that loses all its words goes."""
     done = line_dedup.dedup_lines(docs)
@@ -43,16 +60,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*(changed.get(c, F.col(f"row.`{c}`")) for c in docs.columns))
 
 
+@own_tables
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
     return near_dedup.keep_one(docs)
 
 
+@own_tables
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes whole documents by the schedule of the mix: some come more than once, some not at all."""
     return mixing.mixed_documents(docs)
 
 
+@own_tables
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, checked by decoding: doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
     import public_tokenizers
@@ -60,7 +80,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_column(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("language", language),
     ("lines", lines),
     ("near_duplicates", near_duplicates),
@@ -70,8 +90,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each but the last is written to the shared folder and read again."""
+    """All stages over the documents; each but the last is written to the shared folder and read again.
+
+    One pipeline at a time in a session: a stage deletes the working tables of the stage before.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = stage(spark, docs, sf_dir)
+        with scope("pipeline"):
+            docs = materialize(kept, name)
     return STAGES[-1][1](spark, docs, sf_dir)
