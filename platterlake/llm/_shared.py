@@ -8,6 +8,8 @@ executor and cuts the lineage; nothing here uses ``localCheckpoint``.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_SCOPE: contextvars.ContextVar[str] = contextvars.ContextVar("scope", default="work")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -43,21 +46,36 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables that are materialised inside belong to ``name``, so that :func:`release` can delete them alone."""
+    token = _SCOPE.set(name)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
+def _folder(spark: SparkSession, *parts: str) -> str:
+    return "/".join([shared_dir(spark), spark.sparkContext.applicationId, *parts])
+
+
 def materialize(df: DataFrame, tag: str, *by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder (a folder a value of ``by``) and return the written table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = _folder(spark, _SCOPE.get(), f"{tag}-{uuid.uuid4().hex}")
     df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that this application has materialised so far.
+def release(spark: SparkSession, *names: str) -> None:
+    """Delete the materialised tables of the named scopes, or all that this application has made.
 
     Call it once the results that were built on them have been written.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in [_folder(spark, n) for n in names] or [_folder(spark)]:
+        path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(folder), True)
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
