@@ -39,7 +39,9 @@ from ._words import LOWER, span_hashes
 from .near_dedup import band_values, minhash, shingle_sets
 from .quality_rules import View
 
-SAMPLE, LONGEST, WORDS = 4000, 200_000, 250
+SAMPLE, LONGEST, WORDS = 4000, 50_000, 250
+#: Texts of the sample that are read at once.
+STEP = 200
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 UPPER = np.zeros(256, bool)
@@ -117,20 +119,27 @@ def fit(texts: list[str], labels: np.ndarray, words: int = WORDS) -> Model:
     """``labels``: one row a text, one column a model, 0 or 1."""
     if not len(texts):
         return Model(np.empty(0, np.uint64), np.zeros((9, labels.shape[1])))
-    sets = shingle_sets(pa.array(texts, pa.large_string()))
     seen: set[int] = set()
-    first = []
-    for i, s in enumerate(sets):  # copies would teach the words of one text as if many had them
-        bands = set(band_values(minhash(s)).tolist()) if len(s) else set()
-        if not bands & seen:
-            first.append(i)
-        seen |= bands
+    first: list[int] = []
+    parts: list[tuple[np.ndarray, ...]] = []
+    for i in range(0, len(texts), STEP):  # a few texts at a time bound the memory
+        block = pa.array(texts[i : i + STEP], pa.large_string())
+        own = []
+        for k, s in enumerate(shingle_sets(block)):  # copies would teach the words of one text as if many had them
+            bands = set(band_values(minhash(s)).tolist()) if len(s) else set()
+            if not bands & seen:
+                own.append(k)
+            seen |= bands
+        view = View(block.take(pa.array(own, pa.int64())))
+        h, row = letter_runs(view)
+        u, at = np.unique(h, return_inverse=True)
+        row, at = np.divmod(np.unique(row * max(len(u), 1) + at), max(len(u), 1))
+        parts.append((u[at], row + len(first), shares(view)))
+        first += [i + k for k in own]
     labels = labels[first]
-    view = View(pa.array([texts[i] for i in first], pa.large_string()))
-    h, row = letter_runs(view)
-    keys, at = np.unique(h, return_inverse=True)
-    pair = np.unique(row * len(keys) + at)
-    row, at = np.divmod(pair, len(keys))
+    hashes, row, features = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    del parts
+    keys, at = np.unique(hashes, return_inverse=True)
     n = np.bincount(at, minlength=len(keys))
     chosen: set[int] = set()
     for k in range(labels.shape[1]):
@@ -149,7 +158,7 @@ def fit(texts: list[str], labels: np.ndarray, words: int = WORDS) -> Model:
     place[order] = np.arange(len(order))
     used = place[at] >= 0
     x[row[used], place[at[used]]] = 1
-    x[:, len(order) :] = shares(view)
+    x[:, len(order) :] = features
     weights = np.zeros((x.shape[1], labels.shape[1]))
     for k in range(labels.shape[1]):
         if 0 < labels[:, k].mean() < 1:
