@@ -78,8 +78,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int =
     length = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("target") / blocks)))
     rows = rows.withColumn("n", F.ceil(F.col("source_size") / length).cast("long"))
     rows = rows.withColumn("share", F.when(F.col("source_size") > 0, F.col("target") * F.col("n") / F.col("source_size")).otherwise(0.0))
-    before = F.sum("share").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("share")
-    rows = rows.withColumn("slots", F.sum("share").over(everything)).withColumn("lo", before / F.greatest(F.col("slots"), F.lit(1e-300)))
+    by_sid = Window.orderBy("sid")  # one order of adding, so that reruns agree to the last bit
+    before = F.sum("share").over(by_sid.rowsBetween(Window.unboundedPreceding, 0)) - F.col("share")
+    rows = rows.withColumn("slots", F.sum("share").over(by_sid.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("lo", before / F.greatest(F.col("slots"), F.lit(1e-300)))
     rows = rows.withColumn("hi", F.lead("lo", 1, 2.0).over(Window.orderBy("sid")))
     return rows.select("source", "sid", "weight", "source_size", "target", "n", "lo", "hi", "slots")
 
