@@ -162,7 +162,7 @@ def test_components_of_long_chains(spark):
     rng = random.Random(2)
     key = list(range(300))
     rng.shuffle(key)
-    pairs = [(key[i], key[i + 1]) for i in range(299) if i % 50] + [(key[0], key[60]), (key[3], key[3])][:1]
+    pairs = [(key[i], key[i + 1]) for i in range(299) if i % 50] + [(key[0], key[60])]
     edges = spark.createDataFrame([((a, a), (b, b)) for a, b in pairs], "c struct<a:bigint,b:bigint>, d struct<a:bigint,b:bigint>")
     got = {r.c.a: r.root.a for r in near_dedup.components(edges).collect()}
     name = {x: x for p in pairs for x in p}
@@ -257,7 +257,7 @@ def test_language_is_learned_and_kept_apart(make_docs, spoken, odd_texts):
 
 
 def test_unseen_words_back_off_to_shorter_ngrams():
-    model = language_id.fit(["abcdef abcdef uvwxyz"] * 3, ["one"] * 3) if False else language_id.fit(["abcdef abcdef abcdef", "uvwxyz uvwxyz uvwxyz"], ["one", "two"])
+    model = language_id.fit(["abcdef abcdef abcdef", "uvwxyz uvwxyz uvwxyz"], ["one", "two"])
     for text, want in (("abcdef", "one"), ("abcdeq", "one"), ("qqqabq", "one"), ("qyz", "two"), ("qqz", "two")):
         assert language_id.predict(model, pa.array([text], pa.large_string()))[0] == [want], text
     lang, score = language_id.predict(model, pa.array(["щщщ", "", "12"], pa.large_string()))
