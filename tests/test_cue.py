@@ -1,6 +1,7 @@
 """Cue sheets: parsing, compatibility, conversion, layouts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from platterlake.operators import chd, cue, layout
 
@@ -176,7 +177,7 @@ def test_read_layout_converts_first(spark):
 
 def test_container_tracks(spark):
     text = "TRACK:1 TYPE:MODE2_RAW SUBTYPE:NONE FRAMES:229020 PREFRAMES:150"
-    fields = spark.createDataFrame([(text,)], "text string").select(*(chd.meta_field(__import__("pyspark.sql.functions", fromlist=["col"]).col("text"), f).alias(f) for f in ("TRACK", "TYPE", "FRAMES", "RAMES", "PGTYPE"))).first()
+    fields = spark.createDataFrame([(text,)], "text string").select(*(chd.meta_field(F.col("text"), f).alias(f) for f in ("TRACK", "TYPE", "FRAMES", "RAMES", "PGTYPE"))).first()
     assert tuple(fields) == ("1", "MODE2_RAW", "229020", None, None)
     meta = [
         ("d", 0, "CHT2", "TRACK:3 TYPE:AUDIO FRAMES:906\0"), ("d", 1, "CHTR", "TRACK:1 TYPE:MODE1_RAW FRAMES:19560"), ("d", 2, "CHT2", "TRACK:2 TYPE:MODE2_RAW FRAMES:78407"),
