@@ -52,7 +52,7 @@ from .elias_fano import Trie
 #: Discount of unigrams, and the two parameters of m(v).
 DISCOUNT, RARE, SHARE = 0.6, 4.0, 0.8
 #: Bytes of text a shard and a chunk; entries of the two tables.
-SHARD, CHUNK, FREQUENT, PAIRS = 12 << 20, 6 << 20, 1 << 17, 1 << 14
+SHARD, CHUNK, FREQUENT, PAIRS = 9 << 20, 6 << 20, 1 << 17, 1 << 14
 END = np.uint64(0xE17D0C5A11B2F3C5)
 UNIVERSE = 1 << 48  # contexts in a shard are told apart by 48 bits of their hash
 
@@ -340,7 +340,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     shards = max(1, -(-size // (shard or SHARD)))
-    total, distinct, words, word_counts, maybe = count_words(rows, max(1, shards // 4))
+    total, distinct, words, word_counts, maybe = count_words(rows, shards)
     pair_counts = count_pairs(rows, maybe)
     hot = pair_counts * PAIRS >= max(total, 1)
     shared = spark.sparkContext.broadcast(Counts(total, distinct, words, word_counts, maybe[hot], pair_counts[hot]))
