@@ -51,7 +51,7 @@ from ._words import _VALUE, _powers, mix, per_row
 LENGTH, PIECE = 200, 32
 WIDE = LENGTH - PIECE + 1
 #: Bytes of text in a chunk, of strings scanned at once, a counting shard, and a suffix array; places of an anchor in one shard.
-CHUNK, TILE, SHARD, BATCH, PLACES = 3 << 20, 1 << 19, 16 << 20, 2 << 20, 6000
+CHUNK, TILE, SHARD, BATCH, PLACES = 3 << 19, 1 << 18, 48 << 20, 1 << 20, 3000
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
@@ -388,11 +388,10 @@ def drop_bytes(body: pa.Table, marks: pa.Table, texts: bool) -> pa.Table:
     if not body.num_rows:
         return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=True)})
     ids, data, off = read_body(body.column("data")[0].as_py())
-    step = np.zeros(len(data) + 1, np.int64)
-    for x in marks.column("data").to_pylist():
-        a, b = unpack(x, "<u4", "<u4")
-        step += np.bincount(a, minlength=len(step)) - np.bincount(b, minlength=len(step))
-    gone = np.cumsum(step)[:-1] > 0
+    ranges = [unpack(x, "<u4", "<u4") for x in marks.column("data").to_pylist()]
+    begin, end = (np.concatenate([r[i] for r in ranges] or [np.empty(0, np.uint32)]) for i in range(2))
+    n = len(data) + 1
+    gone = np.cumsum(np.bincount(begin, minlength=n) - np.bincount(end, minlength=n))[:-1] > 0
     opens = gone.copy()
     opens[1:] &= ~gone[:-1]
     edge = off[:-1][off[:-1] < len(data)]
