@@ -33,15 +33,21 @@ def _by_path(*more: str) -> Window:
     return Window.partitionBy("path", *more).orderBy("p")
 
 
-def sheet_lines(sheets: DataFrame, strip_bom: bool = False) -> DataFrame:
-    """Non-blank lines: path, p (number in the sheet), line (trimmed), upper, kind, words."""
+def sheet_lines(sheets: DataFrame, strip_bom: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Non-blank lines: path, p (number in the sheet), line (trimmed), upper, kind, words.
+
+    Each sheet ends with one row of kind END and without a line, so that none is lost;
+    it alone has the columns to ``keep``.
+    """
     text = F.regexp_replace("text", "\\A\ufeff", "") if strip_bom else F.col("text")
-    rows = sheets.select("path", F.posexplode(F.split(text, "\n", -1)).alias("p", "line"))
-    rows = rows.withColumn("line", trim_all(F.col("line"))).where("line != ''").withColumn("upper", F.upper("line"))
-    kind = F.when(F.col("line").startswith("//"), "COMMENT")
+    lines = F.concat(F.coalesce(F.split(text, "\n", -1), F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+    rows = sheets.select("path", F.posexplode(lines).alias("p", "line"), *keep)
+    rows = rows.withColumn("line", trim_all(F.col("line"))).where("line is null or line != ''").withColumn("upper", F.upper("line"))
+    kind = F.when(F.col("line").isNull(), "END").when(F.col("line").startswith("//"), "COMMENT")
     for word in (*_FILES, "TRACK", "INDEX", "PREGAP", "POSTGAP"):
         kind = kind.when(F.col("upper").startswith(f"{word} "), word)
-    return rows.select("path", "p", "line", "upper", kind.otherwise("OTHER").alias("kind"), F.split("line", r"(?U)\s+").alias("words"))
+    kept = [F.when(F.col("line").isNull(), F.col(c)).alias(c) for c in keep]
+    return rows.select("path", "p", "line", "upper", kind.otherwise("OTHER").alias("kind"), F.split("line", r"(?U)\s+").alias("words"), *kept)
 
 
 def _file_parts(line: Column, kind: Column) -> tuple[Column, Column, Column]:
@@ -70,9 +76,9 @@ class Parsed(NamedTuple):
     errors: DataFrame
 
 
-def _events(sheets: DataFrame, strip_bom: bool = False) -> DataFrame:
+def _events(sheets: DataFrame, strip_bom: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Lines with file_no (files begun so far), ordinal (TRACK lines so far) and last_owner (file of the last track)."""
-    rows = sheet_lines(sheets, strip_bom).where(F.col("kind").isin(*_FILES, "TRACK", "INDEX"))
+    rows = sheet_lines(sheets, strip_bom, keep).where(F.col("kind").isin(*_FILES, "TRACK", "INDEX", "END"))
     so_far = _by_path().rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("file_no", F.count(F.when(F.col("kind").isin(*_FILES), 1)).over(so_far))
     rows = rows.withColumn("ordinal", F.count(F.when(F.col("kind") == "TRACK", 1)).over(so_far))
@@ -81,12 +87,12 @@ def _events(sheets: DataFrame, strip_bom: bool = False) -> DataFrame:
     return rows.withColumn("last_owner", F.last(F.when(F.col("kind") == "TRACK", F.col("owner")), True).over(so_far))
 
 
-def sheet_errors(sheets: DataFrame, events: DataFrame) -> DataFrame:
+def sheet_errors(events: DataFrame) -> DataFrame:
     _, _, broken = _file_parts(F.col("line"), F.col("kind"))
     is_file = F.col("kind").isin(*_FILES)
     found = events.groupBy("path").agg(F.max(F.when(is_file, broken)).alias("broken"), F.max("file_no").alias("files"), F.max("ordinal").alias("tracks"))
     told = F.when(F.coalesce("broken", F.lit(False)), OPEN_QUOTE).when(F.coalesce("files", F.lit(0)) == 0, NO_FILE).when(F.col("tracks") > 255, TOO_MANY)
-    return sheets.select("path").join(found, "path", "left").select("path", invalid_format(told).alias("error")).where("error is not null")
+    return found.select("path", invalid_format(told).alias("error")).where("error is not null")
 
 
 def parse(sheets: DataFrame, strip_bom: bool = False) -> Parsed:
@@ -96,7 +102,7 @@ def parse(sheets: DataFrame, strip_bom: bool = False) -> Parsed:
     left out, as are lines of any other kind and indexes that are malformed.
     """
     events = _events(sheets, strip_bom)
-    errors = sheet_errors(sheets, events)
+    errors = sheet_errors(events)
     good = events.join(errors.select("path"), "path", "left_anti")
     name, after, _ = _file_parts(F.col("line"), F.col("kind"))
     files = good.where(F.col("kind").isin(*_FILES)).select("path", "file_no", name.alias("filename"), F.when(F.col("kind") == "DATAFILE", "BINARY").otherwise(after).alias("file_type"))
@@ -119,10 +125,10 @@ def _extra(upper: Column) -> Column:
     return found
 
 
-def compatibility(sheets: DataFrame) -> DataFrame:
+def compatibility(sheets: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """What of the extended dialect each sheet uses, a row a sheet, with is_standard, can_auto_fix and summary."""
-    rows = sheet_lines(sheets)
-    live = F.col("kind") != "COMMENT"
+    rows = sheet_lines(sheets, keep=keep)
+    live = ~F.col("kind").isin("COMMENT", "END")
     track = F.col("kind") == "TRACK"
     rows = rows.withColumn("ordinal", F.count(F.when(track, 1)).over(_by_path().rowsBetween(Window.unboundedPreceding, 0)))
     number, mode = _track_parts(F.col("words"), F.col("ordinal"))
@@ -135,13 +141,14 @@ def compatibility(sheets: DataFrame) -> DataFrame:
         any_(F.col("kind") == "DATAFILE").alias("has_datafile"),
         any_(audio).alias("has_audiofile"),
         any_(_extra(F.col("upper"))).alias("has_extra_directives"),
-        F.max(~live).alias("has_comments"),
+        F.max(F.col("kind") == "COMMENT").alias("has_comments"),
         any_(audio & F.col("line").contains("#")).alias("offset"),
+        *(F.max(c).alias(c) for c in keep),
     )
-    out = sheets.select("path").join(out, "path", "left")  # a sheet of blank lines has none
     flags = ["has_datafile", "has_audiofile", "has_extra_directives", "has_comments"]
     out = out.select(
         "path",
+        *keep,
         "disc_type_header",
         F.transform(F.coalesce("modes", F.array()), lambda x: F.struct(x["number"], x["mode"])).alias("cdwin_track_modes"),
         *(F.coalesce(c, F.lit(False)).alias(c) for c in flags),
@@ -171,7 +178,9 @@ def convert(sheets: DataFrame) -> DataFrame:
     disc line, before/own/after, place of the track, place of the line), and the sheet
     is the lines sorted by it.
     """
-    rows = sheet_lines(sheets).where((F.col("kind") != "COMMENT") & ~F.col("upper").isin(*DISC_TYPES) & ~_extra(F.col("upper")) & (F.col("kind") != "OTHER"))
+    rows = sheet_lines(sheets)
+    dropped = F.col("kind").isin("COMMENT", "OTHER") | F.col("upper").isin(*DISC_TYPES) | _extra(F.col("upper"))
+    rows = rows.where(~F.coalesce(dropped, F.lit(False)))
     is_disc, is_track = F.col("kind").isin(*_FILES), F.col("kind") == "TRACK"
     before, after = _by_path().rowsBetween(Window.unboundedPreceding, -1), _by_path().rowsBetween(1, Window.unboundedFollowing)
     so_far = _by_path().rowsBetween(Window.unboundedPreceding, 0)
@@ -223,7 +232,8 @@ def convert(sheets: DataFrame) -> DataFrame:
     zero, one = F.lit(0), F.lit(1)
     index_line = F.when(F.col("own_lines") == 0, F.concat(F.lit("    INDEX 01 "), T.sectors_to_msf(begins)))
     lines = (
-        F.when(is_disc, F.array(put(F.col("p"), one, zero, zero, F.when(shown, file_line))))
+        F.when(F.col("kind") == "END", F.array(put(zero, zero, zero, zero, F.lit(None).cast("string"))))
+        .when(is_disc, F.array(put(F.col("p"), one, zero, zero, F.when(shown, file_line))))
         .when(is_track, F.array(put(end, phase, F.col("p"), zero, F.concat(F.format_string("  TRACK %02d ", "number"), "mode")), put(end, phase, F.col("p"), one, index_line)))
         .when(owned, F.array(put(end, phase, F.col("track"), F.col("p"), F.concat(F.lit("    "), "line"))))
         .otherwise(F.array(put(F.col("p"), one, zero, zero, F.concat(F.lit("    "), "line"))))
@@ -233,16 +243,15 @@ def convert(sheets: DataFrame) -> DataFrame:
         F.min(F.when(F.col("broken"), F.struct("p", F.lit(OPEN_QUOTE).alias("m"))).when((F.col("kind") == "AUDIOFILE") & F.col("line").contains("#"), F.struct("p", F.lit(BYTE_OFFSET).alias("m"))))["m"].alias("problem"),
     )
     text = F.array_join(F.transform(F.array_sort(F.filter("lines", lambda x: x["text"].isNotNull())), lambda x: x["text"]), "\n")
-    out = sheets.select("path").join(sheet.select("path", "problem", text.alias("body")), "path", "left")
+    out = sheet.select("path", "problem", text.alias("body"))
     problem = F.coalesce("problem", F.when(F.coalesce("body", F.lit("")) == "", NO_OUTPUT))
     return out.select("path", F.when(problem.isNull(), F.concat("body", F.lit("\n"))).alias("text"), invalid_format(problem).alias("error"))
 
 
 def standardize(sheets: DataFrame) -> DataFrame:
     """Rows (path, text, error): standard sheets as they are, others converted, unfixable ones an error."""
-    seen = compatibility(sheets).select("path", "is_standard", "unfixable_reason")
-    made = convert(sheets).withColumnsRenamed({"text": "made", "error": "failure"})
-    rows = sheets.select("path", "text").join(seen, "path").join(made, "path")
+    seen = compatibility(sheets, ("text",)).select("path", "text", "is_standard", "unfixable_reason")
+    rows = seen.join(convert(sheets).withColumnsRenamed({"text": "made", "error": "failure"}), "path")
     stays, bad = F.col("is_standard"), F.col("unfixable_reason").isNotNull()
     text = F.when(stays, F.col("text")).when(~bad, F.col("made"))
     err = F.when(stays, F.lit(None)).when(bad, invalid_format(F.col("unfixable_reason"))).otherwise(F.col("failure"))
@@ -250,22 +259,24 @@ def standardize(sheets: DataFrame) -> DataFrame:
 
 
 def layout_tracks(sheets: DataFrame, strip_bom: bool = False) -> DataFrame:
-    """A row a TRACK line: path, file_no, filename, ordinal, number, mode, begin (first INDEX 01), problem (of the sheet).
+    """A row a TRACK line: path, file_no, filename, ordinal, number, mode, begin (first INDEX 01), problem (error of the sheet).
 
-    A sheet with a problem, or without tracks, is one row with the problem alone.  All
-    of it comes from windows over one dealing of the lines by path.
+    A sheet with a problem, or without tracks, is one row with the problem alone; a sheet
+    may come with a problem, in a column ``error``.  All of it comes from windows over
+    one dealing of the lines by path.
     """
-    events = _events(sheets, strip_bom)
-    is_file, is_track = F.col("kind").isin(*_FILES), F.col("kind") == "TRACK"
+    given = ("error",) if "error" in sheets.columns else ()
+    events = _events(sheets, strip_bom, given)
+    is_file, is_track, is_end = F.col("kind").isin(*_FILES), F.col("kind") == "TRACK", F.col("kind") == "END"
     name, _, broken = _file_parts(F.col("line"), F.col("kind"))
     number, mode = _track_parts(F.col("words"), F.col("ordinal"))
     sector = T.msf_to_sectors(F.get("words", F.lit(2)), 4294967295)
     here = (F.col("kind") == "INDEX") & (F.col("last_owner") == F.col("owner")) & (unsigned(F.get("words", F.lit(1)), 255) == 1)
-    events = events.select(
-        "path", "p", "kind", "file_no", "owner", "ordinal", F.when(is_file, name).alias("name"), (is_file & broken).alias("broken"), F.when(is_track, number).alias("number"), F.when(is_track, mode).alias("mode"), F.when(here, sector).alias("sector")
-    )
+    values = {"name": F.when(is_file, name), "broken": is_file & broken, "number": F.when(is_track, number), "mode": F.when(is_track, mode), "sector": F.when(here, sector)}
+    events = events.select("path", "p", "kind", "file_no", "owner", "ordinal", *(c.alias(n) for n, c in values.items()), *given)
     sheet, one_file = Window.partitionBy("path"), Window.partitionBy("path", "owner")
     one_track = Window.partitionBy("path", "ordinal").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = F.when(F.col("any_broken"), OPEN_QUOTE).when(F.col("files") == 0, NO_FILE).when(F.col("tracks") > 255, TOO_MANY).when(F.col("tracks") == 0, NO_TRACKS)
     rows = events.select(
         "*",
         F.max("name").over(one_file).alias("filename"),
@@ -273,11 +284,10 @@ def layout_tracks(sheets: DataFrame, strip_bom: bool = False) -> DataFrame:
         F.max("broken").over(sheet).alias("any_broken"),
         F.max("file_no").over(sheet).alias("files"),
         F.max("ordinal").over(sheet).alias("tracks"),
-        F.row_number().over(_by_path()).alias("line_no"),
+        *(F.max(c).over(sheet).alias("given") for c in given),
     )
-    problem = F.when(F.col("any_broken"), OPEN_QUOTE).when(F.col("files") == 0, NO_FILE).when(F.col("tracks") > 255, TOO_MANY).when(F.col("tracks") == 0, NO_TRACKS)
-    rows = rows.withColumn("problem", problem).where((F.col("problem").isNull() & (F.col("kind") == "TRACK")) | (F.col("problem").isNotNull() & (F.col("line_no") == 1)))
-    own = {c: F.when(F.col("problem").isNull(), F.col(c)).alias(c) for c in ("filename", "ordinal", "number", "mode", "begin")}
-    rows = rows.select("path", F.when(F.col("problem").isNull(), F.col("owner")).alias("file_no"), *own.values(), "problem")
-    # A sheet with none of these lines is not among the events.
-    return sheets.select("path").join(rows, "path", "left").withColumn("problem", F.when(F.col("ordinal").isNull(), F.coalesce("problem", F.lit(NO_FILE))))
+    rows = rows.withColumn("problem", F.coalesce(*(F.col("given") for _ in given), invalid_format(told)))
+    good = F.col("problem").isNull()
+    rows = rows.where((good & is_track) | (~good & is_end))
+    own = {c: F.when(good, F.col(c)).alias(c) for c in ("filename", "ordinal", "number", "mode", "begin")}
+    return rows.select("path", F.when(good, F.col("owner")).alias("file_no"), *own.values(), "problem")

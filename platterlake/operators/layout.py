@@ -16,8 +16,8 @@ COLUMNS = ["path", "ordinal", "number", "absolute_offset", "length_sectors", "ki
 def cue_layout(sheets: DataFrame, sizes: DataFrame, strip_bom: bool = False) -> DataFrame:
     """A row a track, or one row with an error for a sheet that has no layout.
 
-    ``sheets`` has (path, text), ``sizes`` (path, filename, size_bytes): the sizes of the
-    files that a sheet names.  Within a file a track ends where the next one's INDEX 01
+    ``sheets`` has (path, text), and may have (error); ``sizes`` has (path, filename,
+    size_bytes): the sizes of the files that a sheet names.  Within a file a track ends where the next one's INDEX 01
     is, the last at the file's end; the first track of a sheet begins at the lead-in
     plus its own INDEX 01, and each other where the one before it ends.  Each sheet's
     first problem, in order of its files, is its error.
@@ -31,7 +31,7 @@ def cue_layout(sheets: DataFrame, sizes: DataFrame, strip_bom: bool = False) ->
     name = F.concat(F.lit("'"), "filename", F.lit("'"))
     # The first of: the file's size, its alignment, a missing INDEX 01, a negative length.
     problem = (
-        F.when(F.col("sheet_problem").isNotNull(), F.struct(F.lit(0).alias("step"), E.invalid_format(F.col("sheet_problem")).alias("e")))
+        F.when(F.col("sheet_problem").isNotNull(), F.struct(F.lit(0).alias("step"), F.col("sheet_problem").alias("e")))
         .when(F.col("size").isNull(), F.struct(F.lit(0).alias("step"), E.error("Io", F.concat(F.lit("BIN "), name, F.lit(": not found"))).alias("e")))
         .when(F.col("size") % RAW_SECTOR != 0, F.struct(F.lit(0).alias("step"), E.invalid_format(F.concat(F.lit("BIN file "), name, F.lit(" size "), F.col("size").cast("string"), F.lit(f" is not a multiple of {RAW_SECTOR}"))).alias("e")))
         .when(F.col("begin").isNull(), F.struct(F.lit(1).alias("step"), E.invalid_format(F.concat(F.lit("track "), F.col("number").cast("string"), F.lit(" missing INDEX 01 in CUE"))).alias("e")))
@@ -43,19 +43,15 @@ def cue_layout(sheets: DataFrame, sizes: DataFrame, strip_bom: bool = False) ->
     rows = rows.withColumn("first_problem", F.min("problem").over(whole))
     start = F.lit(LEAD_IN) + F.first("begin").over(sheet) + F.coalesce(F.sum("length").over(sheet.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(sheet)
-    good = rows.select("*", start.alias("absolute_offset"), place.alias("n")).where("first_problem is null")
-    good = good.select("path", F.col("n").alias("ordinal"), "number", "absolute_offset", F.col("length").alias("length_sectors"), T.classify_mode(F.col("mode")).alias("kind"), "mode", E.no_error().alias("error"))
-    bad = rows.select("*", place.alias("n")).where("first_problem is not null and n = 1")
-    missing = [F.lit(None).cast(t).alias(c) for c, t in good.dtypes if c not in ("path", "error")]
-    return good.unionByName(bad.select("path", *missing, F.col("first_problem.e").alias("error"))).select(*COLUMNS)
+    good = F.col("first_problem").isNull()
+    rows = rows.select("*", start.alias("absolute_offset"), place.alias("n")).where(good | (F.col("n") == 1))
+    values = {"ordinal": F.col("n"), "number": F.col("number"), "absolute_offset": F.col("absolute_offset"), "length_sectors": F.col("length"), "kind": T.classify_mode(F.col("mode")), "mode": F.col("mode")}
+    return rows.select("path", *(F.when(good, c).alias(name) for name, c in values.items()), F.col("first_problem.e").alias("error")).select(*COLUMNS)
 
 
 def read_layout(sheets: DataFrame, sizes: DataFrame) -> DataFrame:
     """Like :func:`cue_layout`, with extended sheets converted first; what cannot be converted is an error row."""
-    ready = cue.standardize(sheets)
-    told = cue_layout(ready.where("error is null").select("path", "text"), sizes)
-    failed = ready.where("error is not null")
-    return told.unionByName(failed.select("path", *(F.lit(None).cast(t).alias(c) for c, t in told.dtypes if c not in ("path", "error")), "error"))
+    return cue_layout(cue.standardize(sheets), sizes)
 
 
 def lead_out(layout: DataFrame) -> DataFrame:
