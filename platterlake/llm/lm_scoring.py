@@ -52,7 +52,7 @@ from .elias_fano import Trie
 #: Discount of unigrams, and the two parameters of m(v).
 DISCOUNT, RARE, SHARE = 0.6, 4.0, 0.8
 #: Bytes of text a shard and a chunk; entries of the two tables.
-SHARD, CHUNK, FREQUENT, PAIRS = 9 << 20, 6 << 20, 1 << 17, 1 << 14
+SHARD, CHUNK, FREQUENT, PAIRS = 9 << 20, 3 << 20, 1 << 17, 1 << 14
 END = np.uint64(0xE17D0C5A11B2F3C5)
 UNIVERSE = 1 << 48  # contexts in a shard are told apart by 48 bits of their hash
 
