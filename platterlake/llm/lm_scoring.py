@@ -53,6 +53,8 @@ from .elias_fano import Trie
 DISCOUNT, RARE, SHARE = 0.6, 4.0, 0.8
 #: Bytes of text a shard and a chunk; entries of the two tables.
 SHARD, CHUNK, FREQUENT, PAIRS = 9 << 20, 3 << 20, 1 << 17, 1 << 14
+#: Pairs that are looked up at once.
+STEP = 1 << 18
 END = np.uint64(0xE17D0C5A11B2F3C5)
 UNIVERSE = 1 << 48  # contexts in a shard are told apart by 48 bits of their hash
 
@@ -269,12 +271,16 @@ def score_shard(group: pa.Table, counts: Counts) -> pa.Table:
     out_data = []
     if parts:
         words, of_list = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        w = np.repeat(of_list, np.concatenate([p[1] for p in parts]))
+        w = np.repeat(of_list.astype(np.int32), np.concatenate([p[1] for p in parts]))
         contexts, v = np.unique((np.concatenate([p[2] for p in parts]).astype(np.uint64) << np.uint64(16)) | np.concatenate([p[3] for p in parts]), return_inverse=True)
-        row = np.concatenate([p[4] for p in parts]).astype(np.int64)
+        row = np.concatenate([p[4] for p in parts])
         train = np.concatenate([~np.unpackbits(p[5]).astype(bool)[p[4]] for p in parts])
         del parts, of_list
-        pairs, of_pair = np.unique(v * len(words) + w, return_inverse=True)
+        v *= len(words)
+        v += w
+        pairs, of_pair = np.unique(v, return_inverse=True)
+        del v
+        of_pair = of_pair.astype(np.int32)
         seen = np.bincount(of_pair[train], minlength=len(pairs))
         own, frequent = counts.count(words)
         in_shard = np.bincount(w[train], minlength=len(words))
@@ -292,9 +298,13 @@ def score_shard(group: pa.Table, counts: Counts) -> pa.Table:
             have, rank = np.unique(pv[stored], return_inverse=True)
             Trie.write(Path(d), contexts[have], UNIVERSE, rank, pw[stored], len(words), np.log10(seen[stored] + less[stored]))
             trie = Trie(Path(d))
-            value, found = trie.lookup(contexts, pv, pw)
+            value = np.log10(less)
+            for i in range(0, len(pairs), STEP):  # a slice at a time bounds what a search needs besides
+                part = slice(i, i + STEP)
+                near, at = np.unique(pv[part], return_inverse=True)
+                got, found = trie.lookup(contexts[near], at, pw[part])
+                value[part][found] = got[found]
             del trie
-        value = np.where(found, value, np.log10(less))
         score = value[of_pair] - np.log10(count + counts.weight(frequent, count))[w]
         base, known = np.log10(count + 1.0)[w], (count > 0)[w]
         for a, b in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes), strict=True):
