@@ -3,20 +3,23 @@
 Tokens are lower-cased words and one end token a text, which is also the context of
 the next text's first word.  Unigrams are discounted absolutely and an unseen word
 has the discounts' mass, P1(w) = (c(w) - D) / N or D * V / N.  Bigrams back off by
-P(w | v) = (c(v w) + m(v) * P1(w)) / (c(v) + m(v)), with m(v) = RARE, or
-RARE + SHARE * c(v) for contexts in the table of frequent words.  Both sum to one.
+P(w | v) = (c(v w) + m(v) * P1(w)) / (c(v) + m(v)), with m(v) = RARE + SHARE * c(v)
+for every context, whatever its count and the size of the input.  (Without
+``every_context`` only contexts in the table of frequent words get more than RARE.)
+Both sum to one.
 
 Every token but the end is once a successor and once a context in its text, and the
 end closes the ring, so the sum of log P over a text is the sum over its tokens of
 log(c(v w) + m(v) * P1(w)) - log(c(w) + m(w)).  All that a term needs belongs to its
-word w, apart from m(v).  So tokens are dealt to shards by w; a shard counts the
+word w, apart from c(v).  So tokens are dealt to shards by w, and the counts of the
+contexts that a shard meets and the table of frequent words lacks are sent to it; a shard counts the
 training bigrams of its words, builds their trie (contexts, monotone pointers,
 successors, 16-bit smoothed values) in memory-mapped files, and answers its tokens
 by searching among the context's successors.  Each (chunk, shard) returns one
 message of sums by document.
 
 Passes over the texts: (a) count words, and find pairs that may be frequent; (b)
-count those pairs exactly; (c) deal the tokens.
+count those pairs exactly; (c) ask for the counts of contexts; (d) deal the tokens.
 
 Scale: a shard is about SHARD bytes of text whatever the corpus.  Words over a
 quarter of a shard are dealt by word and context instead, with their counts from
@@ -41,6 +44,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +61,7 @@ SHARD, CHUNK, FREQUENT, PAIRS = 9 << 20, 3 << 20, 1 << 17, 1 << 14
 STEP = 1 << 18
 END = np.uint64(0xE17D0C5A11B2F3C5)
 UNIVERSE = 1 << 48  # contexts in a shard are told apart by 48 bits of their hash
+ANSWER = -1  # in the place of a chunk: counts of contexts
 
 
 @dataclass
@@ -105,6 +110,7 @@ class Counts:
     word_counts: np.ndarray
     pairs: np.ndarray
     pair_counts: np.ndarray
+    every: bool = False
 
     @staticmethod
     def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +129,8 @@ class Counts:
         return np.where(hit, self.pair_counts[at] if len(self.pairs) else 0, 0), hit
 
     def weight(self, frequent: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """m(v)."""
-        return np.where(frequent, RARE + SHARE * count, RARE)
+        """m(v), of contexts that are frequent or, with ``every``, of all by their exact counts."""
+        return np.where(frequent | self.every, RARE + SHARE * count, RARE)
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         """P1."""
@@ -138,19 +144,28 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return u, np.bincount(at, counts, len(u)).astype(np.int64)
 
 
-def count_words(rows: DataFrame, shards: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-    """N, V, the most frequent training words with their counts, and pairs that may be frequent."""
+def word_shard(key: np.ndarray, shards: int) -> np.ndarray:
+    """Shard that counts a word."""
+    return (key >> np.uint64(32)).astype(np.int64) % shards
+
+
+def by_shard(shard: np.ndarray, shards: int, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The arrays' entries of each shard that has some, as messages."""
+    order = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        yield s, pack(*(a[order[cut[s] : cut[s + 1]]] for a in arrays))
+
+
+def count_words(rows: DataFrame, shards: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """N, V, the most frequent training words with their counts, pairs that may be frequent, and (owner, data) with all words' counts by shard."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n, pairs, tokens = np.empty(0, np.uint64), np.empty(0, np.int64), (np.empty(0, np.uint64), np.empty(0, np.int64)), 0
 
         def out(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            shard = (key >> np.uint64(32)).astype(np.int64) % shards
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            some = [s for s in range(shards) if cut[s] < cut[s + 1]]
-            blobs = [pack(key[order[cut[s] : cut[s + 1]]], n[order[cut[s] : cut[s + 1]]]) for s in some]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "data"])
+            some = list(by_shard(word_shard(key, shards), shards, key, n))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["shard", "data"])
 
         for b in text_blocks(batches, "text"):
             c = read_chunk(b)
@@ -176,12 +191,13 @@ def count_words(rows: DataFrame, shards: int) -> tuple[int, int, np.ndarray, np.
         u, n = add_up(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         pair = key[0].as_py() < 0
         sums = (0, 0) if pair else (int(n.sum()), len(u))
-        if not pair:  # more are not needed from one shard
+        whole = None if pair else pack(u, n)
+        if not pair:  # more are not needed from one shard for the table
             most = np.argsort(-n, kind="stable")[:FREQUENT]
             u, n = u[most], n[most]
-        return pa.table({"pair": [pair], "total": pa.array([sums[0]], pa.int64()), "distinct": pa.array([sums[1]], pa.int64()), "h": [u.view(np.int64)], "n": [n]})
+        return pa.table({"pair": [pair], "total": pa.array([sums[0]], pa.int64()), "distinct": pa.array([sums[1]], pa.int64()), "h": [u.view(np.int64)], "n": [n], "owner": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([whole], pa.binary())})
 
-    each = rows.mapInArrow(deal, "shard int, data binary").groupBy("shard").applyInArrow(total, "pair boolean, total bigint, distinct bigint, h array<bigint>, n array<bigint>")
+    each = rows.mapInArrow(deal, "shard int, data binary").groupBy("shard").applyInArrow(total, "pair boolean, total bigint, distinct bigint, h array<bigint>, n array<bigint>, owner int, data binary")
     each = materialize(each, "lm-words")
     sums = each.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     flat = each.select("pair", F.explode(F.arrays_zip("h", "n")).alias("e")).select("pair", "e.*")
@@ -189,7 +205,7 @@ def count_words(rows: DataFrame, shards: int) -> tuple[int, int, np.ndarray, np.
     maybe = flat.where("pair").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(PAIRS).toArrow()
     h, n = best.column("h").to_numpy().view(np.uint64), best.column("n").to_numpy()
     order = np.argsort(h)
-    return sums.n or 0, sums.v or 0, h[order], n[order], np.sort(maybe.column("h").to_numpy().view(np.uint64))
+    return sums.n or 0, sums.v or 0, h[order], n[order], np.sort(maybe.column("h").to_numpy().view(np.uint64)), each.where(~F.col("pair")).select("owner", "data")
 
 
 def count_pairs(rows: DataFrame, pairs: np.ndarray) -> np.ndarray:
@@ -218,6 +234,64 @@ def _sums(n: int, at: np.ndarray, score: np.ndarray, base: np.ndarray, known: np
     return np.bincount(at, score, n), np.bincount(at, base, n), np.bincount(at[known], minlength=n)
 
 
+def left_tokens(c: Chunk, counts: Counts, shards: int) -> tuple[np.ndarray, ...]:
+    """Of a chunk: which tokens are scored where they are met, and of the rest the places and the shards."""
+    pair, hot = counts.pair_count(pair_hash(c.context, c.word))
+    word_count, frequent = counts.count(c.word)
+    hot &= frequent  # true of every frequent pair
+    at = np.flatnonzero(hot)
+    of_context, known_context = counts.count(c.context[at])
+    if counts.every:  # a context outside the table is only known in the shards
+        hot[at[~known_context]] = False
+        at, of_context, known_context = at[known_context], of_context[known_context], known_context[known_context]
+    left = np.flatnonzero(~hot)
+    word, context = c.word[left], c.context[left]
+    spread = word_count[left] * (4 * shards) >= max(counts.total, 1)
+    shard = (np.where(spread, mix(word ^ mix(context)), word) >> np.uint64(20)) % np.uint64(shards)
+    return pair, word_count, frequent, at, of_context, known_context, left, shard
+
+
+def ask_contexts(batches: Iterator[pa.RecordBatch], counts: Counts, shards: int) -> Iterator[pa.RecordBatch]:
+    """Messages (owner, data) to the shards that count words: contexts outside the table, and the shards that meet them."""
+    word, shard = np.empty(0, np.uint64), np.empty(0, np.int32)
+
+    def once(word: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((shard, word))
+        word, shard = word[order], shard[order]
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (shard[1:] != shard[:-1])
+        return word[new], shard[new]
+
+    def out(word: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+        some = list(by_shard(word_shard(word, shards), shards, word, shard))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], ["owner", "data"])
+
+    for b in text_blocks(batches, "text"):
+        c = read_chunk(b)
+        *_, left, to = left_tokens(c, counts, shards)
+        rare = np.flatnonzero(~counts.count(c.context[left])[1])
+        word, shard = once(np.concatenate([word, c.context[left[rare]]]), np.concatenate([shard, to[rare].astype(np.int32)]))
+        if len(word) > 1_000_000:
+            yield out(word, shard)
+            word, shard = word[:0], shard[:0]
+    if len(word):
+        yield out(word, shard)
+
+
+def answer_contexts(key: tuple[pa.Scalar, ...], words: pa.Table, asked: pa.Table, shards: int) -> pa.Table:
+    """A word shard's answer: for each shard that asks, its contexts and their exact counts."""
+    known = [unpack(x, "<u8", "<i8") for x in words.column("data").to_pylist()]
+    keys, n = known[0] if known else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    parts = [unpack(x, "<u8", "<i4") for x in asked.column("data").to_pylist()]
+    word, shard = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, k) for i, k in enumerate((np.uint64, np.int32)))
+    at, hit = Counts._find(keys, word)
+    count = np.zeros(len(word), np.int64)
+    count[hit] = n[at[hit]]
+    some = list(by_shard(shard, shards, word >> np.uint64(16), count))
+    size = len(some)
+    return pa.table({"shard": pa.array([s for s, _ in some], pa.int32()), "chunk": pa.array([ANSWER] * size, pa.int64()), "head": pa.array([False] * size, pa.bool_()), "data": pa.array([x for _, x in some], pa.binary())})
+
+
 def deal_tokens(batches: Iterator[pa.RecordBatch], counts: Counts, shards: int) -> Iterator[pa.RecordBatch]:
     """Messages (shard, chunk, head, data): tokens for each shard, and a head for the chunk itself."""
     number = TaskContext.get().partitionId() << 32
@@ -225,18 +299,11 @@ def deal_tokens(batches: Iterator[pa.RecordBatch], counts: Counts, shards: int)
         for start in range(0, b.num_rows, 1 << 16):
             c = read_chunk(b.slice(start, 1 << 16))
             rows = len(c.tokens)
-            pair, hot = counts.pair_count(pair_hash(c.context, c.word))
-            word_count, frequent = counts.count(c.word)
-            hot &= frequent  # true of every frequent pair
-            at = np.flatnonzero(hot)
-            of_context, known_context = counts.count(c.context[at])
+            pair, word_count, frequent, at, of_context, known_context, left, shard = left_tokens(c, counts, shards)
             top = pair[at] + counts.weight(known_context, of_context) * counts.unigram(word_count[at])
             score = np.log10(top) - np.log10(word_count[at] + counts.weight(frequent[at], word_count[at]))
             sums = _sums(rows, c.row[at], score, np.log10(word_count[at] + 1.0), word_count[at] > 0)
-            left = np.flatnonzero(~hot)
             word, context, row = c.word[left], c.context[left], c.row[left].astype(np.uint16)
-            spread = word_count[left] * (4 * shards) >= max(counts.total, 1)
-            shard = (np.where(spread, mix(word ^ mix(context)), word) >> np.uint64(20)) % np.uint64(shards)
             order = np.lexsort((word, shard))
             word, context, row, shard = word[order], context[order], row[order], shard[order]
             cut = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
@@ -263,6 +330,9 @@ def deal_tokens(batches: Iterator[pa.RecordBatch], counts: Counts, shards: int)
 
 def score_shard(group: pa.Table, counts: Counts) -> pa.Table:
     """Builds the shard's trie from its training tokens and returns sums by chunk and row."""
+    answers = pc.equal(group.column("chunk"), ANSWER)
+    told = [unpack(x, "<u8", "<i8") for x in group.filter(answers).column("data").to_pylist()]
+    group = group.filter(pc.invert(answers))
     head = group.column("head").to_numpy()
     chunks = group.column("chunk").to_numpy()
     asked = group.filter(pa.array(~head)).column("data")
@@ -290,6 +360,14 @@ def score_shard(group: pa.Table, counts: Counts) -> pa.Table:
         order = np.argsort(counts.words >> np.uint64(16))
         short = Counts(0, 0, (counts.words >> np.uint64(16))[order], counts.word_counts[order], counts.pairs[:0], counts.pair_counts[:0])
         of_context, known_context = short.count(contexts)
+        if counts.every:
+            if told:
+                keys, first = np.unique(np.concatenate([t[0] for t in told]), return_index=True)
+                rest = Counts(0, 0, keys, np.concatenate([t[1] for t in told])[first], counts.pairs[:0], counts.pair_counts[:0])
+                of_rest, known_rest = rest.count(contexts)
+                of_context, known_context = np.where(known_context, of_context, of_rest), known_context | known_rest
+            if not known_context.all():
+                raise RuntimeError("a context's count is missing: the texts differ between two passes")
         weight = counts.weight(known_context, of_context)
         pv, pw = pairs // len(words), pairs % len(words)
         less = weight[pv] * below[pw]
@@ -341,27 +419,35 @@ def join_chunk(group: pa.Table, counts: Counts) -> pa.Table:
     )
 
 
+DEALT = "shard int, chunk bigint, head boolean, data binary"
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", shard: int | None = None) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows not held out."""
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", shard: int | None = None, every_context: bool = False) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows not held out.
+
+    With ``every_context`` the weight m(v) goes by the exact count of any context, else only by that of a frequent one.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     shards = max(1, -(-size // (shard or SHARD)))
-    total, distinct, words, word_counts, maybe = count_words(rows, shards)
+    total, distinct, words, word_counts, maybe, owned = count_words(rows, shards)
     pair_counts = count_pairs(rows, maybe)
     hot = pair_counts * PAIRS >= max(total, 1)
-    shared = spark.sparkContext.broadcast(Counts(total, distinct, words, word_counts, maybe[hot], pair_counts[hot]))
-    dealt = rows.mapInArrow(lambda it: deal_tokens(it, shared.value, shards), "shard int, chunk bigint, head boolean, data binary")
+    shared = spark.sparkContext.broadcast(Counts(total, distinct, words, word_counts, maybe[hot], pair_counts[hot], every_context))
+    dealt = rows.mapInArrow(lambda it: deal_tokens(it, shared.value, shards), DEALT)
+    if every_context:
+        asked = rows.mapInArrow(lambda it: ask_contexts(it, shared.value, shards), "owner int, data binary")
+        told = owned.groupBy("owner").cogroup(asked.groupBy("owner")).applyInArrow(lambda k, w, a: answer_contexts(k, w, a, shards), DEALT)
+        dealt = dealt.unionByName(told)
     sums = dealt.groupBy("shard").applyInArrow(lambda t: score_shard(t, shared.value), "chunk bigint, head boolean, data binary")
     return sums.groupBy("chunk").applyInArrow(lambda t: join_chunk(t, shared.value), RESULT)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    return score_texts(table(spark, sf_dir, "documents", "doc_id", "text"), held)
+    return score_texts(table(spark, sf_dir, "documents", "doc_id", "text"), held, every_context=True)
 
 
 QUERIES = {"op3_lm_scoring": op3_lm_scoring}

@@ -110,6 +110,31 @@ def test_scores(make_docs, odd_texts, monkeypatch, frequent):
         assert g[5] == pytest.approx(w[5], rel=1e-5, abs=1e-3) and g[6] == pytest.approx(w[6], rel=2e-4, abs=5e-3)
 
 
+class Every:
+    def __contains__(self, x):
+        return True
+
+
+@pytest.mark.parametrize("frequent", [1 << 17, 25, 3])
+def test_every_context_is_smoothed_by_its_count(make_docs, odd_texts, monkeypatch, frequent):
+    """The table's size does not show in the scores, and a context of any count has the same rule."""
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    monkeypatch.setattr(lm_scoring, "PAIRS", 40)
+    rng = np.random.default_rng(6)
+    words = [f"W{i}é" for i in range(150)]
+    texts = [" ".join(words[min(149, int(rng.exponential(25)))] for _ in range(rng.integers(0, 60))) for _ in range(120)]
+    rows = [(i, t, "en", "s") for i, t in enumerate([*texts, *odd_texts])] + [(None, "w1é w2é unmet w2é", "en", "s"), (3, texts[3], "en", "s")]
+    monkeypatch.setattr(lm_scoring, "table", lambda *a: make_docs(rows))
+    monkeypatch.setattr(lm_scoring, "SHARD", 4_000)
+    got = [tuple(r) for r in lm_scoring.op3_lm_scoring(None, "").collect()]
+    want = slow_scores(rows, Every())
+    by = lambda x: (str(x[0]), x[2], round(x[5], 1))
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=by), sorted(want, key=by), strict=True):
+        assert g[:5] == w[:5]
+        assert g[5] == pytest.approx(w[5], rel=1e-5, abs=1e-3) and g[6] == pytest.approx(w[6], rel=2e-4, abs=5e-3)
+
+
 def test_probabilities_sum_to_one():
     c = lm_scoring.Counts(30, 4, *(np.array([], np.uint64), np.array([], np.int64)) * 2)
     known = np.array([20, 6, 3, 1])
