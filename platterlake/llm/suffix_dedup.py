@@ -24,8 +24,9 @@ Scale: a chunk is about CHUNK bytes of text and counts each key once, so a key c
 one entry a chunk however frequent it is.  Suffix arrays are built over BATCH bytes
 at a time.  Texts are written once to the shared folder, compressed, and dealt by
 chunk twice; everything else that is dealt is small against the input.  Segments and
-anchors are known by 64-bit hashes; that two different segments of a corpus of n
-share one and an anchor besides has a chance below n ** 2 / 2 ** 64.
+anchors are known by 64-bit hashes and segments are counted by name and anchor
+together, so a false repeat takes two equal 64-bit hashes, or one between different
+segments around the same 32 bytes.
 
 Defined results: a null or empty text, and any under 200 bytes, stays whole; rows
 equal in id and text are separate texts, copies of each other; other columns are
@@ -206,20 +207,33 @@ def bodies(docs: DataFrame, shards: int) -> DataFrame:
             ids = b.column("doc_id")
             body = pack(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), off, np.frombuffer(squeeze.compress(data.tobytes()), np.uint8))
             out = [("body", number, -1, body)]
-            (anchors, an), (names, nn) = counted(Segments(data, off))
-            ca, cn = shard_cuts(anchors, shards), shard_cuts(names, shards)
-            for s in range(shards):
-                a, n = slice(ca[s], ca[s + 1]), slice(cn[s], cn[s + 1])
-                if a.start < a.stop or n.start < n.stop:
-                    out.append(("keys", number, s, pack(anchors[a], an[a], names[n], nn[n])))
+            out += [("keys", number, s, keys) for s, keys in key_messages(Segments(data, off), shards)]
             number += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["kind", "chunk", "shard", "data"])
 
     return rows.mapInArrow(run, "kind string, chunk bigint, shard int, data binary")
 
 
-def counted(s: Segments) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
-    return tuple((u, n.astype(np.uint32)) for u, n in (np.unique(x, return_counts=True) for x in (s.anchor, s.name)))
+def distinct(name: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of each different (name, anchor), in that order, and the number of each one's pair."""
+    order = np.lexsort((anchor, name))
+    new = np.ones(len(order), bool)
+    new[1:] = (name[order][1:] != name[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
+def key_messages(s: Segments, shards: int) -> Iterator[tuple[int, bytes]]:
+    """For each counting shard, the chunk's anchors and segments with their counts; a segment is known by name and anchor."""
+    anchors, an = np.unique(s.anchor, return_counts=True)
+    first, of = distinct(s.name, s.anchor)
+    names, beside, nn = s.name[first], s.anchor[first], np.bincount(of, minlength=len(first))
+    ca, cn = shard_cuts(anchors, shards), shard_cuts(names, shards)
+    for k in range(shards):
+        a, n = slice(ca[k], ca[k + 1]), slice(cn[k], cn[k + 1])
+        if a.start < a.stop or n.start < n.stop:
+            yield k, pack(anchors[a], an[a].astype("<u4"), names[n], beside[n], nn[n].astype("<u4"))
 
 
 def shard_cuts(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -235,11 +249,11 @@ def read_body(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def answer(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     """For each chunk: totals of its anchors and segments, and whether it is the first to have a segment."""
     group = group.sort_by("chunk")
-    parts = [unpack(x, "<u8", "<u4", "<u8", "<u4") for x in group.column("data").to_pylist()]
+    parts = [unpack(x, "<u8", "<u4", "<u8", "<u8", "<u4") for x in group.column("data").to_pylist()]
     anchors, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     total = np.bincount(at, np.concatenate([p[1] for p in parts]), len(anchors))
-    names, first, of = np.unique(np.concatenate([p[2] for p in parts]), return_index=True, return_inverse=True)
-    whole = np.bincount(of, np.concatenate([p[3] for p in parts]), len(names))
+    first, of = distinct(np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]))
+    whole = np.bincount(of, np.concatenate([p[4] for p in parts]), len(first))
     least = np.zeros(len(of), bool)
     least[first] = True
     data, i, j = [], 0, 0
@@ -276,15 +290,16 @@ def open_segments(body: pa.Table, answers: pa.Table, shards: int, places: int) -
     s = Segments(data, off)
     if not len(s.start):
         return _out([])
-    (anchors, _), (names, _) = counted(s)
+    anchors = np.unique(s.anchor)
+    first, of_name = distinct(s.name, s.anchor)
     got = [unpack(x, "<u4", "<u4", "?") for x in answers.sort_by("shard").column("data").to_pylist()]
     total, whole, least = (np.concatenate([g[i] for g in got]) for i in range(3))
-    assert len(total) == len(anchors) and len(whole) == len(names)
-    of_anchor, of_name = total[np.searchsorted(anchors, s.anchor)].astype(np.int64), np.searchsorted(names, s.name)
+    assert len(total) == len(anchors) and len(whole) == len(first)
+    of_anchor = total[np.searchsorted(anchors, s.anchor)].astype(np.int64)
     of_whole = whole[of_name].astype(np.int64)
     repeats = of_whole > 1
     once = np.zeros(len(s.start), bool)
-    once[np.unique(s.name, return_index=True)[1]] = True
+    once[first] = True
     send = np.flatnonzero((~repeats & (of_anchor > 1)) | (repeats & once & least[of_name] & (of_anchor > of_whole)))
     covered = pack(s.start[repeats].astype("<u4"), (s.start[repeats] + s.count[repeats] + LENGTH - 1).astype("<u4"))
     out = [("marks", chunk, -1, covered)]

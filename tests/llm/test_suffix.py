@@ -5,10 +5,13 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from platterlake.llm import suffix_dedup as sd
+from platterlake.llm._shared import pack, unpack
 
 
 def slow(rows, length=200):
@@ -72,6 +75,27 @@ def test_tiles_do_not_matter(monkeypatch):
     assert {i for i, _ in strings(whole)} == {i for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True) for i in range(lo, hi - 199)}
 
 
+def test_one_name_with_different_anchors_is_no_repeat(monkeypatch):
+    class Clash(sd.Segments):
+        def __init__(self, data, off):
+            super().__init__(data, off)
+            self.name[:] = 7
+
+    monkeypatch.setattr(sd, "Segments", Clash)
+    rng = np.random.default_rng(4)
+    once, twice = rng.integers(0, 256, 1500, np.uint8), rng.integers(0, 256, 400, np.uint8)
+    data = np.concatenate([once, twice, twice])
+    off = np.array([0, 1500, 1900, 2300])
+    body = pack(np.arange(3), np.zeros(3, bool), off, np.frombuffer(zstandard.ZstdCompressor(1).compress(data.tobytes()), np.uint8))
+    asked = [(k, m) for k, m in sd.key_messages(sd.Segments(data, off), 3)]
+    by = {k: sd.answer((pa.scalar(k),), pa.table({"chunk": [0], "shard": [k], "data": pa.array([m], pa.binary())})) for k, m in asked}
+    out = sd.open_segments(pa.table({"chunk": [0], "data": pa.array([body], pa.binary())}), pa.concat_tables(by.values()), 3, 100)
+    marks = next(r for r in out.to_pylist() if r["kind"] == "marks")
+    starts, ends = unpack(marks["data"], "<u4", "<u4")
+    assert len(starts) and starts.min() >= 1500  # only what is there twice
+    assert {i for a, b in zip(starts.tolist(), ends.tolist(), strict=True) for i in range(a, b)} == set(range(1500, 2300))
+
+
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(3)
     base = bytes(rng.choice(b"ab") for _ in range(260))
