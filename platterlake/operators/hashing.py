@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,32 @@ def crc32_join(first: int, second: int, second_length: int) -> int:
     return _crc_shift(first, second_length) ^ second
 
 
+def _zero_tables(power: int) -> np.ndarray:
+    """What 2 ** ``power`` zero bytes make of a register, by its four bytes."""
+    if power not in _TABLES:
+        column = [_crc_shift(1 << i, 1 << power) for i in range(32)]
+        _TABLES[power] = np.array([[_xor_rows(column[8 * k : 8 * k + 8], b) for b in range(256)] for k in range(4)], np.uint32)
+    return _TABLES[power]
+
+
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def crc32_join_all(crcs: np.ndarray, lengths: np.ndarray) -> int:
+    """CRC-32 of all pieces put together in order: neighbours are joined, level by level."""
+    crc, n = crcs.astype(np.uint32), lengths.astype(np.int64)
+    while len(crc) > 1:
+        if len(crc) % 2:
+            crc, n = np.append(crc, np.uint32(0)), np.append(n, 0)  # no bytes have CRC 0
+        first, second = crc[::2].copy(), n[1::2]
+        for power in range(int(second.max()).bit_length()):
+            at = np.flatnonzero((second >> power) & 1)
+            t, v = _zero_tables(power), first[at]
+            first[at] = t[0][v & 255] ^ t[1][(v >> 8) & 255] ^ t[2][(v >> 16) & 255] ^ t[3][v >> 24]
+        crc, n = first ^ crc[1::2], n[::2] + second
+    return int(crc[0]) if len(crc) else 0
+
+
 def _digest(mode: str):
     def run(key: tuple[pa.Scalar, ...], chunks: pa.Table) -> pa.Table:
         chunks = chunks.sort_by("seq")
@@ -70,9 +97,8 @@ def chunked_hashes(chunks: DataFrame, mode: str = "All") -> DataFrame:
 
 def _join_crcs(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
     parts = parts.sort_by("seq")
-    crc, size = 0, 0
-    for c, n in zip(parts.column("crc").to_pylist(), parts.column("n").to_pylist(), strict=True):
-        crc, size = crc32_join(crc, c, n), size + n
+    n = parts.column("n").to_numpy()
+    crc, size = crc32_join_all(parts.column("crc").to_numpy(), n), int(n.sum())
     return pa.table({"path": [key[0].as_py()], "crc32": [f"{crc:08x}"], "data_size": [size]})
 
 

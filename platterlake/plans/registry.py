@@ -266,6 +266,20 @@ def chunked_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing.mergeable_crc32(rows)
 
 
+@query()
+def documents_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRC-32 of whole texts; SQL would go bit by bit."""
+    rows = S.table(spark, sf_dir, "documents").select("doc_id", K.file_hashes(F.col("text").cast("binary"), "Crc32").alias("h"))
+    return rows.select("doc_id", "h.crc32", "h.data_size")
+
+
+@query()
+def chunked_documents_crc32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRC-32 of each source's texts, joined from those of the documents."""
+    rows = S.table(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.col("doc_id").alias("seq"), F.col("text").cast("binary").alias("data"))
+    return hashing.mergeable_crc32(rows)
+
+
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'MD5' WHEN 1 THEN 'SHA-1' ELSE 'own' END AS name, CASE doc_id % 3 WHEN 0 THEN md5(text) WHEN 1 THEN sha1(text) ELSE lower(hex(doc_id::VARCHAR)) END AS hex, false AS mismatch FROM documents")
 def expected_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, text = F.col("doc_id") % 3, F.col("text").cast("binary")

@@ -120,6 +120,20 @@ def test_digests(spark):
     assert apply(spark, K.algorithm_name, ["Crc16", "Sha256", "Additive", "N64"]) == ["CRC-16", "SHA-256", "Additive", "N64"]
 
 
+def test_crc32_of_documents(spark, tmp_path):
+    import __spark_entry__
+
+    texts = [(i, None if i == 7 else f"text {i} é日 " * (i * i % 91), "ab"[i % 2]) for i in range(333)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    known = __spark_entry__.queries()
+    one = {r.doc_id: (r.crc32, r.data_size) for r in known["documents_crc32"](spark, str(tmp_path)).collect()}
+    raw = {i: t.encode() for i, t, _ in texts if t is not None}
+    assert one == {i: (f"{zlib.crc32(x):08x}", len(x)) for i, x in raw.items()} | {7: (None, None)}
+    whole = {s: b"".join((t or "").encode() for _, t, x in texts if x == s) for s in "ab"}
+    got = {r.path: (r.crc32, r.data_size) for r in known["chunked_documents_crc32"](spark, str(tmp_path)).collect()}
+    assert got == {s: (f"{zlib.crc32(x):08x}", len(x)) for s, x in whole.items()}
+
+
 def test_chunked_digests(spark):
     data = [bytes([i % 251]) * (i * 7 % 50) for i in range(60)]
     rows = spark.createDataFrame([("p", i, d) for i, d in enumerate(data)] + [("q", 0, b""), ("r", 0, None)], "path string, seq int, data binary").repartition(5)
