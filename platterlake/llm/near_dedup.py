@@ -29,7 +29,8 @@ pointer jumping on written tables; nothing is collected to the driver but counts
 Defined results: a null text, or one without words, has an empty set (n_shingles 0),
 links with nothing and stays; fewer than five words are one shingle; rows with equal
 id and text get equal results; null ids are never chosen as a component's name unless
-it has no other, and stay only then; other columns are ignored; an empty table gives
+it has no other, and are marked as kept only then (:func:`keep_one` keeps a single
+text of a component all the same); other columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -206,6 +207,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, key (of its text), n_shingles, component_id, kept."""
+    return _components_of(docs, id_col, text_col).drop("component")
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As :func:`near_duplicates`, and ``component``: its root class, whatever the ids; null for texts without words."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(features(docs), "near-features")
     known = rows.where("n > 0")
@@ -243,16 +249,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = classes.select("c", "label").join(labels, "c")
     least = named.groupBy("root").agg(F.min("label").alias("least"))
-    named = named.join(least, "root").select("c", "least")
-    final = classes.select("c", "label").join(named, "c", "left").select("c", F.coalesce("least", "label").alias("component_id"))
-    joined = known.select("doc_id", "key", "n", "c").join(final, "c").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = named.join(least, "root").select("c", "root", "least")
+    final = classes.select("c", "label").join(named, "c", "left").select("c", F.coalesce("least", "label").alias("component_id"), F.coalesce("root", "c").alias("component"))
+    joined = known.select("doc_id", "key", "n", "c").join(final, "c").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "component")
+    none = F.lit(None).cast(joined.schema["component"].dataType)
+    alone = rows.where("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("component"))
     return joined.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay; rows equal in id and text are one document."""
-    decided = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    """The rows of ``docs`` that stay: of a component the least by id (nulls last) and key; rows equal in id and text are one document."""
+    found = _components_of(docs, id_col, text_col)
+    alone = F.when(F.col("component").isNull(), F.struct("doc_id", "key"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
+    decided = found.groupBy("component", alone.alias("alone")).agg(least).select(F.col("least.doc_id").alias("__id"), F.col("least.key").alias("__key"))
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), _text_key(F.col(text_col).cast("string")).alias("key"))
     found = whole.join(decided, whole["id"].eqNullSafe(decided["__id"]) & (whole["key"] == decided["__key"]), "left_semi")
     return found.dropDuplicates(["id", "key"]).select("row.*")

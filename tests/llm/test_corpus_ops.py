@@ -127,6 +127,15 @@ def near_texts(seed=0):
     return out + out[:6] + [out[0].upper()]
 
 
+def test_keep_one_keeps_one_text_without_or_with_shared_ids(make_docs):
+    text = lambda w, end: " ".join(f"{w}{i}" for i in range(60)) + end
+    rows = [(None, text("a", e), "en", "s") for e in ("", " x", " y")]
+    rows += [(5, text("b", e), "en", "s") for e in ("", " x", " y")] + [(None, text("b", " z"), "en", "s")]
+    rows += [(5, text("c", ""), "en", "s"), (None, text("d", ""), "en", "s"), (None, "", "en", "s"), (6, None, "en", "s")]
+    kept = [(r.doc_id, (r.text or "")[:1]) for r in near_dedup.keep_one(make_docs(rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, "a"), (5, "b"), (5, "c"), (None, "d"), (None, ""), (6, "")], key=repr)
+
+
 def test_near_duplicates(make_docs, odd_texts, spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     rows = [(i, t, "en", "s") for i, t in enumerate([*odd_texts, *near_texts()])]
