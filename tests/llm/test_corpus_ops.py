@@ -136,6 +136,17 @@ def test_keep_one_keeps_one_text_without_or_with_shared_ids(make_docs):
     assert sorted(kept, key=repr) == sorted([(None, "a"), (5, "b"), (5, "c"), (None, "d"), (None, ""), (6, "")], key=repr)
 
 
+def test_components_go_on_from_labels(spark):
+    rng = random.Random(3)
+    frame = lambda e: spark.createDataFrame(e, "c int, d int")
+    first, more = ([(rng.randrange(200), rng.randrange(200)) for _ in range(n)] for n in (90, 40))
+    first, more = [e for e in first if e[0] != e[1]], [e for e in more if e[0] != e[1]]
+    got = {r.c: r.root for r in near_dedup.joined(near_dedup.components(frame(first)), frame(more)).collect()}
+    want = {r.c: r.root for r in near_dedup.components(frame(first + more)).collect()}
+    assert got.keys() == want.keys()
+    assert len(set(got.values())) == len(set(want.values())) == len({(got[c], want[c]) for c in got})
+
+
 def test_near_duplicates(make_docs, odd_texts, spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     rows = [(i, t, "en", "s") for i, t in enumerate([*odd_texts, *near_texts()])]
@@ -234,6 +245,42 @@ def test_suffix_ranks_follow_the_order_of_suffixes(make_docs):
     assert keys == sorted(keys) and len({r["rank"] for r in rows}) == len(set(keys)) == 2 and len(rows) == 5
 
 
+def slow_runs(seqs, least):
+    """(length, copies, earliest) of every run with copies that neither all follow nor all precede one line; ends differ from all."""
+    out = []
+    for d in range(least, max(map(len, seqs)) + 1):
+        places = defaultdict(list)
+        for i, s in enumerate(seqs):
+            for p in range(len(s) - d + 1):
+                places[tuple(s[p : p + d])].append((i, p))
+        for at in places.values():
+            after = {seqs[i][p + d] if p + d < len(seqs[i]) else (i, p) for i, p in at}
+            before = {seqs[i][p - 1] if p else (i, p) for i, p in at}
+            if len(at) > 1 and len(after) > 1 and len(before) > 1:
+                out.append((d, len(at), *min(at)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_maximal_runs(make_docs, least):
+    rng = random.Random(least)
+    long = [f"line {i}" for i in range(140)]
+    seqs = [[rng.choice("abc") for _ in range(rng.randrange(1, 12))] for _ in range(12)] + [["x"] * 9, ["x"] * 5]
+    seqs += [long[:140], ["z", *long[3:137]], [*long[60:75], "q"], ["hot", "line"], ["hot", "line", "a"], *([["hot", "line"]] * 30)]
+    rows = [(i, "\n".join(s), "en", "s") for i, s in enumerate(seqs)]
+    got = line_dedup.repeated_runs(make_docs(rows), min_lines=least).collect()
+    want = slow_runs(seqs, least)
+    assert sorted((r.length, r.copies, r.id, r.p) for r in got) == want
+    assert max(w[0] for w in want) == 134
+    # The longest run that a text has a copy of, and rows that are equal in id and text count once.
+    deepest = {r.row.doc_id: r.longest_run for r in line_dedup.dedup_lines(make_docs(rows + rows[-1:]), min_lines=least).collect()}
+    for i, s in enumerate(seqs):
+        grams = lambda d, k: {tuple(seqs[k][p : p + d]) for p in range(len(seqs[k]) - d + 1)}
+        twice = lambda d: any(g in grams(d, k) for k in range(len(seqs)) if k != i for g in grams(d, i)) or len(grams(d, i)) < len(s) - d + 1
+        assert deepest[i] == max((d for d in range(least, len(s) + 1) if twice(d)), default=0)
+    assert line_dedup.repeated_runs(make_docs([]), min_lines=least).count() == 0
+
+
 SAYS = {"en": "the and of to in is that it was for on with as this", "de": "der die und in den von zu das mit sich des auf für ist", "fr": "le la de et les des en un une est que pour dans qui"}
 
 
