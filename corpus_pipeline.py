@@ -42,17 +42,25 @@ def own_tables(stage: Stage) -> Stage:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (no text, no letters, no clear evidence); fills in a missing ``lang``.
 
-    The model is learned from the rows that have a language.
+    The model is learned from the rows that have a language.  Null and empty texts go; repeated rows get equal
+    decisions; of languages with equal evidence the first by name is taken; further columns, whatever their names,
+    are carried along; texts of any length are read whole; an empty table stays empty.
     """
     model = language_id.learn(docs)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    told = language_id.identify(rows, model, ("row",)).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    return told.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns))
+    names = tuple(f"c{i}" for i in range(len(docs.columns)))
+    text = names[docs.columns.index("text")]
+    told = language_id.identify(docs.toDF(*names), model, names, text).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return told.select(*(F.coalesce(n, "lang_pred").alias(c) if c == "lang" else F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 @own_tables
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated line runs; a document that loses all its words goes."""
+    """Deletes later copies of repeated line runs; a document that loses all its words goes.
+
+    Null and empty texts have no lines and stay; repeated rows are one document and lose the same lines; of equal
+    runs the earliest by id (nulls first), hash of the text and line stays; further columns are carried along; texts of
+    any length are read whole; an empty table stays empty.
+    """
     done = line_dedup.dedup_lines(docs)
     left = done.where((F.col("n_deleted") == 0) | F.col("kept_text").rlike(line_dedup.WORD))
     kinds = dict(docs.dtypes)
@@ -62,19 +70,32 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @own_tables
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates: the least by id (nulls last), then by a hash of the text.
+
+    Texts without words link with nothing and stay; of rows equal in id and text one stays; further columns are
+    carried along; texts of any length are read whole; an empty table stays empty.
+    """
     return near_dedup.keep_one(docs)
 
 
 @own_tables
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes whole documents by the schedule of the mix: some come more than once, some not at all."""
+    """Takes whole documents by the schedule of the mix: some come more than once, some not at all.
+
+    Null and empty texts have no words and are never taken; a null source comes last; repeated rows are separate
+    copies; ties of the shuffle are broken by id and text; further columns are carried along; a text longer than a block
+    is taken whole; an empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 @own_tables
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, checked by decoding: doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
+    """Token ids of every document, checked by decoding: doc_id, n_tokens, ids_sha256, decoded_sha256, ids.
+
+    A null or empty text has no ids; repeated rows get equal results; of equal merges the leftmost comes first; other columns
+    are ignored; texts of any length are encoded whole; an empty table gives an empty result.
+    """
     import public_tokenizers
 
     return byte_bpe.encode_column(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)

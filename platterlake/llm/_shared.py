@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch that goes to Python while a working table is written.
+BATCH = 4 << 20
 _OWN: list[str] = []
 _SCOPE: contextvars.ContextVar[str] = contextvars.ContextVar("scope", default="work")
 
@@ -60,11 +62,27 @@ def _folder(spark: SparkSession, *parts: str) -> str:
     return "/".join([shared_dir(spark), spark.sparkContext.applicationId, *parts])
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH bytes while a table is written: a task holds several of them, in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, BATCH)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, tag: str, *by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder (a folder a value of ``by``) and return the written table."""
     spark = df.sparkSession
     path = _folder(spark, _SCOPE.get(), f"{tag}-{uuid.uuid4().hex}")
-    df.write.partitionBy(*by).parquet(path)
+    with small_batches(spark):
+        df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -207,16 +207,18 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def identify(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns asked for, then lang_pred and score, for every row."""
+    """The columns asked for, then lang_pred and score, for every row.  A text that is itself asked for is shipped once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*id_cols, F.col(text_col).cast("string").alias("__text"))
+    whole = text_col in id_cols and dict(docs.dtypes)[text_col] == "string"
+    text = text_col if whole else "__text"
+    chosen = docs.select(*id_cols) if whole else docs.select(*id_cols, F.col(text_col).cast("string").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_blocks(batches, "__text", 1 << 20):
-            lang, score = predict(shared.value, b.column("__text"))
+        for b in text_blocks(batches, text, 1 << 20):
+            lang, score = predict(shared.value, b.column(text))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in id_cols), pa.array(lang, pa.string()), pa.array(score)], [*id_cols, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes[:-1])
+    kinds = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes[: len(id_cols)])
     return chosen.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 

@@ -122,6 +122,11 @@ def _text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(17), text).alias("b"))
 
 
+def _row_key(id_: Column, key: Column) -> tuple[Column, Column]:
+    """128-bit name (ka, kb) of an id and a text's key."""
+    return F.xxhash64(id_, key["a"], key["b"]).alias("ka"), F.xxhash64(F.lit(31), id_, key["a"], key["b"]).alias("kb")
+
+
 def features(docs: DataFrame) -> DataFrame:
     """From (doc_id, text): doc_id, key (of the text), n, c (name of the set), bands, sketch, whole (the set's own sketch)."""
     chosen = docs.select("doc_id", _text_key(F.col("text")).alias("key"), "text")
@@ -184,8 +189,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round lets every root hook onto its smallest neighbouring root, follows the
     hooks to their ends, and contracts the edges; the number of components that still
     have edges at least halves, so rounds grow with the logarithm of their number.
+    ``edges`` is read several times and should be a written table.
     """
-    edges = materialize(edges, "near-edges")
     labels = edges.select("c").union(edges.select("d")).distinct().select("c", F.col("c").alias("root"))
     left = edges.select(F.col("c").alias("x"), F.col("d").alias("y"))
     while not left.isEmpty():
@@ -205,6 +210,16 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels as of :func:`components` after further edges: only components that these join are worked on."""
+    ends = [labels.select(F.col("c").alias(f"{x}0"), F.col("root").alias(f"{x}1")) for x in "cd"]
+    over = more.join(ends[0], F.col("c") == F.col("c0"), "left").join(ends[1], F.col("d") == F.col("d0"), "left")
+    over = over.select(F.coalesce("c1", "c").alias("c"), F.coalesce("d1", "d").alias("d")).where("c != d").distinct()
+    to = components(materialize(over, "near-over")).select(F.col("c").alias("root"), F.col("root").alias("to"))
+    new = to.join(labels.select(F.col("c").alias("known")), F.col("root") == F.col("known"), "left_anti").select(F.col("root").alias("c"), F.col("to").alias("root"))
+    return materialize(labels.join(to, "root", "left").select("c", F.coalesce("to", "root").alias("root")).unionByName(new), "near-labels")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, key (of its text), n_shingles, component_id, kept."""
     return _components_of(docs, id_col, text_col).drop("component")
@@ -215,17 +230,18 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(features(docs), "near-features")
     known = rows.where("n > 0")
-    one = F.min(F.struct("key", "n", "sketch", "whole", "bands")).alias("one")
-    classes = materialize(known.groupBy("c").agg(F.min("doc_id").alias("label"), one).select("c", "label", "one.*"), "near-classes")
+    one = F.min(F.struct("key", "doc_id", "n", "sketch", "whole", "bands")).alias("one")
+    classes = known.groupBy("c").agg(F.min("doc_id").alias("label"), one).select("c", "label", "one.*")
+    classes = materialize(classes.select("c", "label", "n", "sketch", "whole", "bands", *_row_key(F.col("doc_id"), F.col("key"))), "near-classes")
     about = classes.select("c", F.struct("n", "sketch", "whole").alias("about"))
 
     members = classes.select("c", F.explode("bands").alias("v"))
     sizes = members.groupBy("v").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(members.join(sizes, "v"), "near-buckets")
     met = members.groupBy("c").agg(F.sum("size").alias("met"))
-    # Equal texts share a key: one of them has the set.
-    texts = docs.select(_text_key(F.col("text")).alias("key"), "text").join(classes.join(met, "c", "left_semi").select("key", "c"), "key")
-    sets = materialize(full_sets(texts.dropDuplicates(["key"])), "near-sets")
+    # One row a class has its set; copies of a text are dealt apart, by their own ids.
+    texts = docs.select(*_row_key(F.col("doc_id"), _text_key(F.col("text"))), "text").dropDuplicates(["ka", "kb"])
+    sets = materialize(full_sets(texts.join(classes.join(met, "c", "left_semi").select("ka", "kb", "c"), ["ka", "kb"])), "near-sets")
 
     centers = members.join(met, "c").groupBy("v").agg(F.max(F.struct("met", "c"))["c"].alias("d"))
     stars = members.select("v", "c").join(centers, "v").where("c != d").select("c", "d").distinct()
@@ -245,7 +261,7 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         pairs = one.join(two, ["v", "i", "j"]).where((F.col("root") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("c") < F.col("d"))) & likely("about", "other"))
         more = materialize(confirm(pairs.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct(), sets), "near-more")
         if not more.isEmpty():
-            labels = components(edges.union(more))
+            labels = joined(labels, more)
 
     named = classes.select("c", "label").join(labels, "c")
     least = named.groupBy("root").agg(F.min("label").alias("least"))
@@ -258,14 +274,17 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of a component the least by id (nulls last) and key; rows equal in id and text are one document."""
+    """The rows of ``docs`` that stay: of a component the least by id (nulls last) and key; rows equal in id and text are one document.
+
+    What stays is decided on names alone; whole rows are dealt once, repeated ones after they have become one in their task.
+    """
     found = _components_of(docs, id_col, text_col)
     alone = F.when(F.col("component").isNull(), F.struct("doc_id", "key"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
-    decided = found.groupBy("component", alone.alias("alone")).agg(least).select(F.col("least.doc_id").alias("__id"), F.col("least.key").alias("__key"))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), _text_key(F.col(text_col).cast("string")).alias("key"))
-    found = whole.join(decided, whole["id"].eqNullSafe(decided["__id"]) & (whole["key"] == decided["__key"]), "left_semi")
-    return found.dropDuplicates(["id", "key"]).select("row.*")
+    decided = found.groupBy("component", alone.alias("alone")).agg(least).select(*_row_key(F.col("least.doc_id"), F.col("least.key")))
+    decided = materialize(decided, "near-kept")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *_row_key(F.col(id_col), _text_key(F.col(text_col).cast("string"))))
+    return whole.dropDuplicates(["ka", "kb"]).join(decided, ["ka", "kb"], "left_semi").select("row.*")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
