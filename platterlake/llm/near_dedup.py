@@ -210,7 +210,7 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+def extended(labels: DataFrame, more: DataFrame) -> DataFrame:
     """Labels as of :func:`components` after further edges: only components that these join are worked on."""
     ends = [labels.select(F.col("c").alias(f"{x}0"), F.col("root").alias(f"{x}1")) for x in "cd"]
     over = more.join(ends[0], F.col("c") == F.col("c0"), "left").join(ends[1], F.col("d") == F.col("d0"), "left")
@@ -261,7 +261,7 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         pairs = one.join(two, ["v", "i", "j"]).where((F.col("root") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("c") < F.col("d"))) & likely("about", "other"))
         more = materialize(confirm(pairs.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct(), sets), "near-more")
         if not more.isEmpty():
-            labels = joined(labels, more)
+            labels = extended(labels, more)
 
     named = classes.select("c", "label").join(labels, "c")
     least = named.groupBy("root").agg(F.min("label").alias("least"))

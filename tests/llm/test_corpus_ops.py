@@ -141,7 +141,7 @@ def test_components_go_on_from_labels(spark):
     frame = lambda e: spark.createDataFrame(e, "c int, d int")
     first, more = ([(rng.randrange(200), rng.randrange(200)) for _ in range(n)] for n in (90, 40))
     first, more = [e for e in first if e[0] != e[1]], [e for e in more if e[0] != e[1]]
-    got = {r.c: r.root for r in near_dedup.joined(near_dedup.components(frame(first)), frame(more)).collect()}
+    got = {r.c: r.root for r in near_dedup.extended(near_dedup.components(frame(first)), frame(more)).collect()}
     want = {r.c: r.root for r in near_dedup.components(frame(first + more)).collect()}
     assert got.keys() == want.keys()
     assert len(set(got.values())) == len(set(want.values())) == len({(got[c], want[c]) for c in got})
