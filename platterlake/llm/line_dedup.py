@@ -42,6 +42,8 @@ from ._shared import materialize, table
 
 MIN_LINES, MIN_WORDS = 2, 50
 WORD = r"[^\x20\x09-\x0D]"
+#: A line with a word: only \n ends a line, and what stands before the first word is passed over once.
+WORDED = r"(?dm)^[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D][^\n]*"
 
 
 def document_key(id_: Column, text: Column) -> Column:
@@ -55,10 +57,11 @@ def _lines(text: Column) -> Column:
 
 def line_table(docs: DataFrame) -> DataFrame:
     """A row a line with a word: id, key, p (its number among such lines), a and b (hashes), long."""
-    worded = F.filter(_lines(F.col("text")), lambda x: x.rlike(WORD))
+    worded = F.regexp_extract_all("text", F.lit(WORDED), F.lit(0))
     rows = docs.select("id", document_key(F.col("id"), F.col("text")).alias("key"), F.posexplode(worded).alias("p", "x"))
     x = F.col("x")
-    return rows.select("id", "key", "p", F.xxhash64(x).alias("a"), F.xxhash64(F.lit(23), x).alias("b"), (F.regexp_count(x, F.lit(WORD + "+")) >= F.lit(MIN_WORDS)).alias("long"))
+    long = F.when(F.octet_length(x) >= 2 * MIN_WORDS - 1, F.regexp_count(x, F.lit(WORD + "+")) >= MIN_WORDS).otherwise(False)
+    return rows.select("id", "key", "p", F.xxhash64(x).alias("a"), F.xxhash64(F.lit(23), x).alias("b"), long.alias("long"))
 
 
 def _position() -> Column:
@@ -173,17 +176,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(f"row.`{text_col}`").cast("string")
     joined = whole.withColumn("key", document_key(F.col(f"row.`{id_col}`"), text)).join(gone, F.col("key") == F.col("dkey"), "left")
     # Each step is used more than once by the next, so that Spark computes it once a row and not once an element.
-    split = joined.select("row", "deleted", "longest_run", text.alias("text"), _lines(text).alias("lines"))
+    some = F.size("deleted") > 0
+    split = joined.select("row", "deleted", "longest_run", text.alias("text"), F.when(some, _lines(text)).alias("lines"))
     places = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
     split = split.select("row", "deleted", "longest_run", "text", "lines", places.alias("places"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.transform("deleted", lambda p: F.get("places", p)))
     begins = F.filter("deleted", lambda p, i: (i == 0) | (F.get("deleted", i - 1) != p - 1))
     return split.select(
         "row",
-        F.when(F.coalesce(F.size("deleted"), F.lit(0)) <= 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")).alias("kept_text"),
-        F.greatest(F.coalesce(F.size("places"), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"),
-        F.greatest(F.coalesce(F.size("deleted"), F.lit(0)), F.lit(0)).cast("long").alias("n_deleted"),
-        F.greatest(F.coalesce(F.size(begins), F.lit(0)), F.lit(0)).cast("long").alias("n_runs"),
+        F.when(some, F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")).otherwise(F.col("text")).alias("kept_text"),
+        F.coalesce(F.regexp_count("text", F.lit(WORDED)), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(some, F.size("deleted")).otherwise(0).cast("long").alias("n_deleted"),
+        F.when(some, F.size(begins)).otherwise(0).cast("long").alias("n_runs"),
         F.coalesce("longest_run", F.lit(0)).cast("long").alias("longest_run"),
     )
 
