@@ -20,8 +20,11 @@ def crc32_hex(data: Column) -> Column:
     return F.lpad(F.lower(F.hex(F.crc32(data))), 8, "0")
 
 
-def file_hashes(data: Column, mode: str = "All") -> Column:
-    """Struct of the digests in lower-case hex (null where the mode leaves one out), size and warnings."""
+def file_hashes(data: Column, mode: str = "All", declared_size: Column | None = None) -> Column:
+    """Struct of the digests in lower-case hex (null where the mode leaves one out), size and warnings.
+
+    With ``declared_size`` the struct also has the size that was expected, beside that of the bytes.
+    """
     none = F.lit(None).cast("string")
     return F.struct(
         crc32_hex(data).alias("crc32"),
@@ -29,6 +32,7 @@ def file_hashes(data: Column, mode: str = "All") -> Column:
         (F.md5(data) if has_md5(mode) else none).alias("md5"),
         F.length(data).cast("bigint").alias("data_size"),
         F.array().cast("array<string>").alias("warnings"),
+        *([] if declared_size is None else [declared_size.cast("bigint").alias("declared_size")]),
     )
 
 

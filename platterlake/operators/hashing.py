@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.checksums import has_md5, has_sha1
@@ -107,3 +107,13 @@ def mergeable_crc32(chunks: DataFrame) -> DataFrame:
     data = F.coalesce("data", F.lit(b""))
     parts = chunks.select("path", "seq", F.crc32(data).alias("crc"), F.length(data).cast("bigint").alias("n"))
     return parts.groupBy("path").applyInArrow(_join_crcs, "path string, crc32 string, data_size bigint")
+
+
+def with_progress(chunks: DataFrame, name: str = "hashing") -> tuple[DataFrame, Observation]:
+    """The same rows, and an observation of how many chunks and bytes have passed (``get`` waits for the end of the action).
+
+    In a stream, the same metrics reach listeners with every micro-batch.
+    """
+    seen = Observation(name)
+    rows = chunks.observe(seen, F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(F.length("data").cast("bigint")), F.lit(0)).alias("bytes"))
+    return rows, seen

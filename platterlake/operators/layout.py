@@ -73,3 +73,21 @@ def chd_layout(tracks: DataFrame) -> DataFrame:
         F.col("track_type").alias("mode"),
         E.invalid_format(over).alias("error"),
     )
+
+
+def read_chd_layout(meta: DataFrame, containers: DataFrame | None = None) -> DataFrame:
+    """Layout of containers from rows (path, seq, tag, text, error); one that cannot be read, or has no tracks, is an error row.
+
+    A container without any entry has no row in ``meta``; ``containers`` (path) names those too.
+    """
+    from .chd import parse_tracks
+
+    tracks = chd_layout(parse_tracks(meta.where("error is null")))
+    if containers is not None:
+        meta = meta.unionByName(containers.select("path"), allowMissingColumns=True)
+    broken = meta.groupBy("path").agg(F.first("error", ignorenulls=True).alias("broken"))
+    some = tracks.select("path").distinct().withColumn("some", F.lit(True))
+    none = E.invalid_format(F.when(F.col("some").isNull(), F.lit("container lists no tracks")))
+    bad = broken.join(some, "path", "left").select("path", F.coalesce("broken", none).alias("error")).where("error is not null")
+    good = tracks.join(bad.select("path"), "path", "left_anti")
+    return good.unionByName(bad, allowMissingColumns=True)

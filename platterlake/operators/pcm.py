@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import errors as E
@@ -68,6 +68,18 @@ def track_samples(sectors: DataFrame, layout: DataFrame, byte_swap: bool = False
     return sector_samples(rows, byte_swap).unionByName(bad)
 
 
+def joined_sectors(sectors: DataFrame, files: DataFrame) -> DataFrame:
+    """Sectors (path, sector, raw) of whole discs whose sheets name several images.
+
+    ``sectors`` has (path, sector, raw) of the images; ``files`` names them in order: (path, file_no, image, size_bytes).
+    An image's sectors follow those of the images before it, as in the disc's layout.
+    """
+    before = Window.partitionBy("path").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.floor(F.col("size_bytes") / RAW_SECTOR)).over(before), F.lit(0))
+    placed = files.select(F.col("path").alias("disc"), F.col("image").alias("path"), start.alias("start"))
+    return sectors.join(placed, "path").select(F.col("disc").alias("path"), (F.col("start") + F.col("sector")).cast("bigint").alias("sector"), "raw")
+
+
 def channels(samples: DataFrame) -> DataFrame:
     """A row a stereo sample: path, number, sector, sample, left, right (signed 16 bits)."""
     rows = samples.where("error is null").select("path", "number", "sector", F.posexplode("samples").alias("sample", "packed"))

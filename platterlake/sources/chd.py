@@ -1,8 +1,8 @@
 """Reader for compressed-hunk disc containers, version 5: header, metadata, hunks.
 
 Hunks may be stored plainly or, in a compressed container, plainly, as copies of other
-hunks, or by the general-purpose codecs of the standard library (zlib, LZMA) and their
-CD forms.  FLAC, Huffman and other codecs are reported as unsupported, as are
+hunks, or by zlib, LZMA, FLAC or (where the ``zstandard`` package is installed) zstd
+and their CD forms.  Huffman and other codecs are reported as unsupported, as are
 containers with a parent.  Numbers in the file are big-endian.
 """
 
@@ -14,7 +14,15 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+
 from ..constants import CD_SYNC, CHD_MAGIC, RAW_SECTOR
+from . import flac
+
+try:
+    import zstandard
+except ImportError:  # a codec that few containers use
+    zstandard = None
 
 SUBCODE = 96
 HEADER_V5 = 124
@@ -76,17 +84,12 @@ def read_metadata(f, header: Header) -> Iterator[tuple[str, bytes]]:
         at = following
 
 
-class _Bits:
-    def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data, "big"), len(data) * 8
-
+class _Bits(flac.Bits):
     def take(self, n: int) -> int:
-        if n > self.left:
-            raise ChdError("CorruptedHeader", "hunk map ends early")
-        self.left -= n
-        out = self.value >> self.left
-        self.value &= (1 << self.left) - 1
-        return out
+        try:
+            return super().take(n)
+        except EOFError as e:
+            raise ChdError("CorruptedHeader", "hunk map ends early") from e
 
 
 def _prefix_codes(bits: _Bits) -> dict[tuple[int, int], int]:
@@ -189,11 +192,17 @@ class Hunks:
     def _unpack(self, codec: str, data: bytes) -> bytes:
         size = self.header.hunk_bytes
         try:
-            if codec in ("zlib", "lzma"):
+            if codec in ("zlib", "lzma") or codec == "zstd" and zstandard:
                 return _plain(codec, data, size)
-            if codec in ("cdzl", "cdlz"):
+            if codec in ("cdzl", "cdlz") or codec == "cdzs" and zstandard:
                 return self._unpack_cd(codec, data)
-        except (zlib.error, lzma.LZMAError) as e:
+            if codec == "flac":
+                if data[:1] not in (b"L", b"B"):
+                    raise ValueError("unknown order of bytes")
+                return _audio(data[1:], size, "<i2" if data[:1] == b"L" else ">i2")[0]
+            if codec == "cdfl":
+                return self._unpack_audio(data)
+        except (zlib.error, lzma.LZMAError, EOFError, ValueError, *([zstandard.ZstdError] if zstandard else [])) as e:
             raise ChdError("CorruptedHeader", f"hunk cannot be decompressed: {e}") from e
         raise ChdError("UnsupportedVariant", f"codec {codec!r}")
 
@@ -204,8 +213,8 @@ class Hunks:
         wide = 3 if self.header.hunk_bytes >= 65536 else 2
         n = int.from_bytes(data[flags : flags + wide], "big")
         at = flags + wide
-        sectors = _plain("zlib" if codec == "cdzl" else "lzma", data[at : at + n], frames * RAW_SECTOR)
-        subcode = _plain("zlib", data[at + n :], frames * SUBCODE)
+        sectors = _plain({"cdzl": "zlib", "cdlz": "lzma", "cdzs": "zstd"}[codec], data[at : at + n], frames * RAW_SECTOR)
+        subcode = _plain("zstd" if codec == "cdzs" else "zlib", data[at + n :], frames * SUBCODE)
         out = bytearray()
         for i in range(frames):
             sector = bytearray(sectors[i * RAW_SECTOR : (i + 1) * RAW_SECTOR])
@@ -216,9 +225,27 @@ class Hunks:
         return bytes(out)
 
 
+    def _unpack_audio(self, data: bytes) -> bytes:
+        """Sectors as FLAC frames of big-endian stereo samples, then their subcode."""
+        frames = self.header.hunk_bytes // (RAW_SECTOR + SUBCODE)
+        sectors, n = _audio(data, frames * RAW_SECTOR, ">i2")
+        subcode = _plain("zlib", data[n:], frames * SUBCODE)
+        return b"".join(sectors[i * RAW_SECTOR : (i + 1) * RAW_SECTOR] + subcode[i * SUBCODE : (i + 1) * SUBCODE] for i in range(frames))
+
+
+def _audio(data: bytes, size: int, kind: str) -> tuple[bytes, int]:
+    """``size`` bytes of 16-bit stereo samples, and how many bytes of ``data`` hold them."""
+    samples, n = flac.decode(data, size // 4)
+    if samples.shape[1:] != (2,):
+        raise ValueError("audio is not stereo")
+    return samples.astype(kind).tobytes(), n
+
+
 def _plain(codec: str, data: bytes, size: int) -> bytes:
     if codec == "zlib":
         out = zlib.decompressobj(-15).decompress(data, size)
+    elif codec == "zstd":
+        out = zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
     else:  # raw LZMA1 with the codec's usual settings for a buffer of this size
         reduced = next((x for k in range(11, 31) for x in (2 << k, 3 << k) if size <= x), 1 << 26)
         filters = [{"id": lzma.FILTER_LZMA1, "dict_size": min(reduced, 1 << 26), "lc": 3, "lp": 0, "pb": 2}]
@@ -228,42 +255,42 @@ def _plain(codec: str, data: bytes, size: int) -> bytes:
     return out
 
 
-def _gf_tables() -> tuple[list[int], list[int]]:
+def _gf_tables() -> tuple[np.ndarray, np.ndarray]:
     """Of GF(2**8) with polynomial 0x11D: twice each value, and the value whose double and itself add to each."""
-    double = [(i << 1) ^ (0x11D if i & 0x80 else 0) for i in range(256)]
-    back = [0] * 256
-    for i, d in enumerate(double):
-        back[i ^ d] = i
+    double = np.array([(i << 1) ^ (0x11D if i & 0x80 else 0) for i in range(256)], np.uint8)
+    back = np.zeros(256, np.uint8)
+    back[np.arange(256) ^ double] = np.arange(256)
     return double, back
 
 
 _DOUBLE, _BACK = _gf_tables()
 
 
-def _parity(sector: bytearray, at: int, majors: int, minors: int, major_step: int, minor_step: int, to: int) -> None:
-    """Reed-Solomon parity of a CD sector (ECMA-130): two bytes for each of ``majors`` vectors."""
-    size = majors * minors
-    for major in range(majors):
-        place = (major >> 1) * major_step + (major & 1)
-        one = two = 0
-        for _ in range(minors):
-            byte = sector[at + place]
-            place += minor_step
-            if place >= size:
-                place -= size
-            one ^= byte
-            two ^= byte
-            one = _DOUBLE[one]
-        one = _BACK[_DOUBLE[one] ^ two]
-        sector[to + major] = one
-        sector[to + majors + major] = one ^ two
+def _places(majors: int, minors: int, major_step: int, minor_step: int) -> np.ndarray:
+    """Which byte of the protected part is the i-th of each vector: a row a vector."""
+    major, minor = np.arange(majors)[:, None], np.arange(minors)
+    return ((major >> 1) * major_step + (major & 1) + minor * minor_step) % (majors * minors)
+
+
+_P, _Q = _places(86, 24, 2, 86), _places(52, 43, 86, 88)
+
+
+def _parity(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Reed-Solomon parity (ECMA-130) of the protected bytes: two bytes for each vector."""
+    rows = data[places]
+    one = np.zeros(len(rows), np.uint8)
+    for i in range(rows.shape[1]):
+        one = _DOUBLE[one ^ rows[:, i]]
+    two = np.bitwise_xor.reduce(rows, 1)
+    one = _BACK[_DOUBLE[one] ^ two]
+    return np.concatenate([one, one ^ two])
 
 
 def write_parity(sector: bytearray) -> None:
     """P and Q parity of a sector; a mode 2 sector counts its address as zero."""
-    address = bytes(sector[12:16])
+    data = np.frombuffer(bytes(sector), np.uint8).copy()
     if sector[15] == 2:
-        sector[12:16] = bytes(4)
-    _parity(sector, 12, 86, 24, 2, 86, 0x81C)
-    _parity(sector, 12, 52, 43, 86, 88, 0x8C8)
-    sector[12:16] = address
+        data[12:16] = 0
+    data[0x81C : 0x81C + 172] = _parity(data[12:], _P)
+    data[0x8C8 : 0x8C8 + 104] = _parity(data[12:], _Q)
+    sector[0x81C:] = data[0x81C:].tobytes()

@@ -8,12 +8,12 @@ scheme that pyarrow's file systems know; a plain path is local to every executor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..constants import RAW_SECTOR
 from . import chd as C
@@ -54,7 +54,48 @@ class _Reader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self) -> list[_Part]:
-        return [_Part(p, 0, n) for p, n in listed(self.paths)]
+        return [_Part(p, 0, n) for p, n in self.files()]
+
+    #: What filters leave: paths, sectors, and bounds of sectors (None: all).
+    only_paths: set[str] | None = None
+    only_sectors: set[int] | None = None
+    least, end = 0, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Narrows what is read by conditions on path and sector; Spark checks them again."""
+        for f in filters:
+            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            values = {value} if isinstance(f, EqualTo) else set(value) if isinstance(f, In) else None
+            if column == ("path",) and values is not None:
+                self.only_paths = values if self.only_paths is None else self.only_paths & values
+            elif column == ("sector",) and values is not None:
+                self.only_sectors = values if self.only_sectors is None else self.only_sectors & values
+            elif column == ("sector",) and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.least = max(self.least, value + isinstance(f, GreaterThan))
+            elif column == ("sector",) and isinstance(f, (LessThan, LessThanOrEqual)):
+                end = value + isinstance(f, LessThanOrEqual)
+                self.end = end if self.end is None else min(self.end, end)
+            yield f
+
+    def files(self) -> list[tuple[str, int]]:
+        return [x for x in listed(self.paths) if self.only_paths is None or x[0] in self.only_paths]
+
+    def ranges(self, sectors: int, step: int) -> Iterator[tuple[int, int]]:
+        """What is wanted of an image of so many sectors, in ranges of ``step`` at most."""
+        first, end = self.least, sectors if self.end is None else min(self.end, sectors)
+        if self.only_sectors is None:
+            yield from ((i, min(i + step, end)) for i in range(first, end, step))
+            return
+        run: list[int] = []
+        for i in sorted(x for x in self.only_sectors if x is not None and first <= x < end):
+            if run and i == run[1] and i - run[0] < step:
+                run[1] = i + 1
+                continue
+            if run:
+                yield run[0], run[1]
+            run = [i, i + 1]
+        if run:
+            yield run[0], run[1]
 
 
 class _Head(_Reader):
@@ -71,7 +112,7 @@ class _Sectors(_Reader):
 
     def partitions(self) -> list[_Part]:
         step = max(RANGE // self.size, 1)
-        return [_Part(p, i, min(i + step, n // self.size)) for p, n in listed(self.paths) for i in range(0, n // self.size, step)] or [_Part("", 0, 0)]
+        return [_Part(p, i, j) for p, n in self.files() for i, j in self.ranges(n // self.size, step)] or [_Part("", 0, 0)]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         if part.first >= part.end:
@@ -132,43 +173,56 @@ class _ChdMeta(_Reader):
         with system.open_input_file(inner) as f:
             try:
                 for seq, (tag, data) in enumerate(C.read_metadata(f, C.read_header(f))):
-                    yield (part.path, seq, tag, data.decode("utf-8", "replace"))
-            except C.ChdError:
-                return
+                    yield (part.path, seq, tag, data.decode("utf-8", "replace"), None)
+            except C.ChdError as e:
+                yield (part.path, None, None, None, (e.kind, str(e)))
 
 
 class _ChdSectors(_Reader):
     def partitions(self) -> list[_Part]:
-        out = []
-        for path, _ in listed(self.paths):
-            system, inner = opened(path)
-            with system.open_input_file(inner) as f:
-                try:
-                    h = C.read_header(f)
-                    step = max(RANGE // h.hunk_bytes, 1)
-                    out += [_Part(path, i, min(i + step, h.hunks)) for i in range(0, h.hunks, step)]
-                except C.ChdError:
-                    out.append(_Part(path, 0, -1))
-        return out or [_Part("", 0, 0)]
+        """Parts of a container's bytes; which hunks these are is only known where its header is read."""
+        return [_Part(p, i, min(i + RANGE, n)) for p, n in self.files() for i in range(0, max(n, 1), RANGE)] or [_Part("", 0, -1)]
 
-    def read(self, part: _Part) -> Iterator[tuple]:
-        """Each hunk is read once, for all of its sectors."""
-        if part.first == part.end:
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+        """The hunks that a part's share of the bytes stands for; each is read once, for all of its sectors."""
+        if part.end < 0:
             return
         system, inner = opened(part.path)
         with system.open_input_file(inner) as f:
+            path, sector, raw, held = [], [], [], 0
             try:
                 h = C.read_header(f)
-                hunks = C.Hunks(f, h)
-                per = h.hunk_bytes // h.unit_bytes
-                for i in range(part.first, part.end):
+            except C.ChdError as e:
+                if part.first == 0:  # said once
+                    yield self.batch([part.path], [None], [None], (e.kind, str(e)))
+                return
+            try:
+                size, per = max(f.size(), 1), h.hunk_bytes // h.unit_bytes
+                first, end = (-(-h.hunks * x // size) for x in (part.first, part.end))
+                sectors = -(-h.logical_bytes // h.unit_bytes)
+                wanted = sorted({k for i, j in self.ranges(sectors, sectors or 1) for k in range(max(i // per, first), min((j - 1) // per + 1, end))})
+                hunks = C.Hunks(f, h) if wanted else None
+                for i in wanted:
                     data = hunks.read(i)
-                    for k in range(per):
-                        sector = i * per + k
-                        if sector * h.unit_bytes < h.logical_bytes:
-                            yield (part.path, sector, data[k * h.unit_bytes : k * h.unit_bytes + RAW_SECTOR], None)
+                    for k in range(min(per, sectors - i * per)):
+                        path.append(part.path)
+                        sector.append(i * per + k)
+                        raw.append(data[k * h.unit_bytes : k * h.unit_bytes + RAW_SECTOR])
+                    held += len(data)
+                    if held >= BATCH:
+                        yield self.batch(path, sector, raw)
+                        path, sector, raw, held = [], [], [], 0
             except C.ChdError as e:
-                yield (part.path, None, None, (e.kind, str(e)))
+                yield self.batch(path, sector, raw)
+                yield self.batch([part.path], [None], [None], (e.kind, str(e)))
+                return
+            yield self.batch(path, sector, raw)
+
+    @staticmethod
+    def batch(path: list, sector: list, raw: list, error: tuple[str, str] | None = None) -> pa.RecordBatch:
+        kind = pa.struct([("kind", pa.string()), ("message", pa.string())])
+        errors = pa.array([error and {"kind": error[0], "message": error[1]}] * len(path), kind)
+        return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(sector, pa.int64()), pa.array(raw, pa.binary()), errors], ["path", "sector", "raw", "error"])
 
 
 class ChdInfoSource(DataSource):
@@ -186,14 +240,14 @@ class ChdInfoSource(DataSource):
 
 
 class ChdMetaSource(DataSource):
-    """Metadata entries: (path, seq, tag, text)."""
+    """Metadata entries: (path, seq, tag, text, error); a broken container, or list of entries, ends with an error row."""
 
     @classmethod
     def name(cls) -> str:
         return "chd_meta"
 
     def schema(self) -> str:
-        return "path string, seq bigint, tag string, text string"
+        return "path string, seq bigint, tag string, text string, error struct<kind:string,message:string>"
 
     def reader(self, schema) -> _Reader:
         return _ChdMeta(self.options)
@@ -214,6 +268,7 @@ class ChdSectorSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the sources known to ``spark.read.format``."""
+    """Make the sources known to ``spark.read.format``, and let conditions on path and sector reach them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (HeadSource, SectorSource, ChdInfoSource, ChdMetaSource, ChdSectorSource):
         spark.dataSource.register(source)

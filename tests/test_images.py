@@ -3,12 +3,17 @@
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In
 
+from platterlake import fixtures
 from platterlake.constants import CD_SYNC, CHD_MAGIC
-from platterlake.operators import chd, images, layout, pcm
+from platterlake.functions import checksums
+from platterlake.operators import chd, hashing, images, layout, pcm
 from platterlake.sources import chd as container
+from platterlake.sources import flac
 from platterlake.sources import images as sources
 
 
@@ -221,7 +226,7 @@ def test_container(spark, tmp_path, codec):
 
 def test_container_errors(spark, tmp_path):
     (tmp_path / "a.chd").write_bytes(b"nothing here at all")
-    make_container(tmp_path / "b.chd", bytes(range(256)) * 153, [], codec=b"flac", kinds=[0, 0, 0, 0, 0][: -(-256 * 153 // 9792)])
+    make_container(tmp_path / "b.chd", bytes(range(256)) * 153, [], codec=b"huff", kinds=[0, 0, 0, 0, 0][: -(-256 * 153 // 9792)])
     (tmp_path / "c.chd").write_bytes(CHD_MAGIC + struct.pack(">II", 108, 4) + bytes(100))
     sources.register(spark)
     got = {r.path.rsplit("/", 1)[1]: r.error and r.error.kind for r in spark.read.format("chd_info").option("path", str(tmp_path)).load().collect()}
@@ -247,3 +252,150 @@ def test_sources(spark, tmp_path, monkeypatch):
     assert spark.read.format("sectors").option("path", f"{tmp_path}/e.bin").load().count() == 0
     with pytest.raises(Exception, match="nope"):
         spark.read.format("sectors").option("path", f"{tmp_path}/nope").load().count()
+
+
+def bit_text(x, n):
+    return f"{x & ((1 << n) - 1):0{n}b}" if n else ""
+
+
+def rice(values, k):
+    folded = [v << 1 if v >= 0 else (-v << 1) - 1 for v in values]
+    return "".join("0" * (u >> k) + "1" + bit_text(u, k) for u in folded)
+
+
+def audio_frame(left, right, kinds, channels=1):
+    """A frame of two subframes: constant, verbatim, fixed (order 2, two partitions) or linear (order 1)."""
+    n = len(left)
+    text = "11111111111110" + "00" + "0111" + "1001" + bit_text(channels, 4) + "100" + "0" + "00000000" + bit_text(n - 1, 16) + "0" * 8
+    for i, (x, kind) in enumerate(zip((left, right), kinds, strict=True)):
+        depth = 16 + (channels in (8, 10) and i == 1 or channels == 9 and i == 0)
+        if kind == "constant":
+            text += "0" + "000000" + "0" + bit_text(x[0], depth)
+        elif kind == "verbatim":  # its values are even: one bit is wasted
+            text += "0" + "000001" + "1" + "1" + "".join(bit_text(v >> 1, depth - 1) for v in x)
+        elif kind == "fixed":
+            r = [x[t] - 2 * x[t - 1] + x[t - 2] for t in range(2, n)]
+            text += "0" + "001010" + "0" + bit_text(x[0], depth) + bit_text(x[1], depth) + "00" + "0001" + "0011" + rice(r[: n // 2 - 2], 3) + "1111" + "10100"
+            text += "".join(bit_text(v, 20) for v in r[n // 2 - 2 :])
+        else:
+            r = [x[t] - (7 * x[t - 1] >> 3) for t in range(1, n)]
+            text += "0" + "100000" + "0" + bit_text(x[0], depth) + "0100" + "00011" + bit_text(7, 5) + "01" + "0000" + "00110" + rice(r, 6)
+    text += "0" * (-len(text) % 8) + "0" * 16
+    return int(text, 2).to_bytes(len(text) // 8, "big")
+
+
+def two_channels(n, seed=0):
+    rng = np.random.default_rng(seed)
+    return [int(v) for v in rng.integers(-3000, 3000, n).cumsum() % 4000 - 2000], [int(v) * 2 for v in rng.integers(-9000, 9000, n)]
+
+
+def test_audio_frames():
+    left, right = two_channels(256)
+    want = np.stack([left, right], 1)
+    mid, side = [(a + b) >> 1 for a, b in want.tolist()], [a - b for a, b in want.tolist()]
+    data = b"".join(
+        [
+            audio_frame(left, right, ("fixed", "verbatim")),
+            audio_frame(left, side, ("linear", "fixed"), 8),
+            audio_frame(side, right, ("fixed", "linear"), 9),
+            audio_frame(mid, side, ("fixed", "linear"), 10),
+            audio_frame([-5] * 256, [7] * 256, ("constant", "constant")),
+        ]
+    )
+    got, n = flac.decode(data + b"after", 5 * 256)
+    assert n == len(data)
+    assert all((got[i * 256 : i * 256 + 256] == want).all() for i in range(4))
+    assert (got[1024:] == [-5, 7]).all()
+    with pytest.raises(EOFError):
+        flac.decode(data[:-200], 5 * 256)
+
+
+@pytest.mark.parametrize("codec", [b"cdfl", b"flac", b"cdzs"])
+def test_container_of_audio(spark, tmp_path, monkeypatch, codec):
+    per, sector = 4, 2352
+    hunks = []
+    for i in range(5):
+        left, right = two_channels(per * (2448 if codec == b"flac" else sector) // 4, i)
+        pcm_ = np.stack([left, right], 1).astype(">i2").tobytes()
+        hunks.append(pcm_ if codec == b"flac" else b"".join(pcm_[k * sector : (k + 1) * sector] + bytes([i]) * 96 for k in range(per)))
+
+    def pack(_, h, per):
+        if codec == b"flac":
+            x = np.frombuffer(h, ">i2").reshape(-1, 2)
+            return b"B" + audio_frame(x[:, 0].tolist(), x[:, 1].tolist(), ("fixed", "verbatim"))
+        main, sub = (b"".join(h[k * 2448 + a : k * 2448 + b] for k in range(per)) for a, b in ((0, sector), (sector, 2448)))
+        if codec == b"cdzs":
+            z = pytest.importorskip("zstandard").ZstdCompressor()
+            x = z.compress(main)
+            return b"\0" + len(x).to_bytes(2, "big") + x + z.compress(sub)
+        x = np.frombuffer(main, ">i2").reshape(-1, 2).astype(int)
+        return audio_frame(x[:, 0].tolist(), x[:, 1].tolist(), ("linear", "verbatim")) + deflate(sub)
+
+    monkeypatch.setitem(globals(), "pack_hunk", pack)
+    path = tmp_path / "a.chd"
+    make_container(path, b"".join(hunks), TAGS, codec=codec, kinds=[0] * 5)
+    sources.register(spark)
+    got = spark.read.format("chd_sectors").option("path", str(path)).load().orderBy("sector").collect()
+    whole = b"".join(hunks)
+    assert not any(r.error for r in got)
+    assert [bytes(r.raw) for r in got] == [whole[i : i + sector] for i in range(0, len(whole), 2448)]
+
+
+def test_conditions_reach_the_sources(spark, tmp_path):
+    for name in ("a.bin", "b.bin"):
+        (tmp_path / name).write_bytes(fixtures.raw_image(fixtures.volume({"X.TXT": b"some text"})))
+    sources.register(spark)
+    load = lambda f: spark.read.format(f).option("path", str(tmp_path)).load()
+    assert [(r.path[-5:], r.sector) for r in load("sectors").where("sector = 16 and path like '%a.bin'").collect()] == [("a.bin", 16)]
+    assert sorted(r.sector for r in load("sectors").where(f"sector > 17 and sector <= 19 and path = '{tmp_path}/b.bin'").collect()) == [18, 19]
+    assert images.volumes(load("sectors")).count() == 2
+    # Only what is asked for is planned, and so read.
+    reader = sources.SectorSource({"path": str(tmp_path)}).reader(None)
+    assert len(list(reader.pushFilters([EqualTo(("path",), f"{tmp_path}/b.bin"), In(("sector",), (16, 18, 19, 400))]))) == 2
+    assert [(p.path[-5:], p.first, p.end) for p in reader.partitions()] == [("b.bin", 16, 17), ("b.bin", 18, 20)]
+    make_container(tmp_path / "c.chd", bytes(2448 * 40), TAGS)
+    some = spark.read.format("chd_sectors").option("path", f"{tmp_path}/c.chd").load().where("sector >= 5 and sector < 9")
+    assert sorted(r.sector for r in some.collect()) == [5, 6, 7, 8]
+
+
+def test_layouts_of_containers_with_faults(spark, tmp_path):
+    make_container(tmp_path / "good.chd", bytes(2448 * 40), TAGS)
+    make_container(tmp_path / "none.chd", bytes(2448 * 4), TAGS[2:])
+    make_container(tmp_path / "bare.chd", bytes(2448 * 4), [])
+    (tmp_path / "bad.chd").write_bytes(b"nothing")
+    whole = (tmp_path / "good.chd").read_bytes()
+    (tmp_path / "cut.chd").write_bytes(whole[:150])
+    sources.register(spark)
+    load = lambda f: spark.read.format(f).option("path", str(tmp_path)).load()
+    got = layout.read_chd_layout(load("chd_meta"), load("chd_info")).collect()
+    said = {(r.path.rsplit("/", 1)[1], r.number, r.error and r.error.kind) for r in got}
+    assert said == {("good.chd", 1, None), ("good.chd", 2, None), ("none.chd", None, "InvalidFormat"), ("bare.chd", None, "InvalidFormat"), ("bad.chd", None, "InvalidFormat"), ("cut.chd", None, "CorruptedHeader")}
+
+
+def test_audio_over_several_files(spark):
+    images_ = {"one.bin": 3, "two.bin": 2}
+    rows_ = [(name, i, bytearray([k * 10 + i, 0, 0, 0]) + bytearray(2348)) for k, (name, n) in enumerate(images_.items()) for i in range(n)]
+    sectors_ = spark.createDataFrame(rows_, "path string, sector bigint, raw binary")
+    files = spark.createDataFrame([("disc", 0, "one.bin", 3 * 2352), ("disc", 1, "two.bin", 2 * 2352)], "path string, file_no int, image string, size_bytes bigint")
+    got = pcm.joined_sectors(sectors_, files).orderBy("sector").collect()
+    assert [(r.path, r.sector, r.raw[0]) for r in got] == [("disc", i, x) for i, x in enumerate([0, 1, 2, 10, 11])]
+
+
+def test_progress_and_declared_size(spark):
+    chunks = spark.createDataFrame([("a", 1, bytearray(b"xy")), ("a", 2, bytearray(b"z"))], "path string, seq int, data binary")
+    seen_rows, seen = hashing.with_progress(chunks)
+    assert hashing.chunked_hashes(seen_rows).first().data_size == 3
+    assert seen.get == {"chunks": 2, "bytes": 3}
+    h = chunks.select(checksums.file_hashes(F.col("data"), "Crc32Sha1", F.lit(9)).alias("h")).first().h
+    assert (h.data_size, h.declared_size, h.md5) == (2, 9, None) and h.sha1
+
+
+def test_fixtures(spark):
+    files = {"READ.ME": b"r" * 3000, "B.TXT": b"bb"}
+    for image in (fixtures.volume(files), fixtures.raw_image(fixtures.volume(files))):
+        s = sectors(spark, image)
+        wanted = spark.createDataFrame([("0", "read.me"), ("0", "b.txt")], "path string, filename string")
+        got = {r.filename: bytes(r.content) for r in images.file_contents(s, images.find_files(s, wanted)).collect()}
+        assert got == {"read.me": files["READ.ME"], "b.txt": files["B.TXT"]}
+    data, _ = images.sector_data_mode1(F.lit(fixtures.raw_sector(b"one", 1)), F.lit(0), F.lit("RawSector2352"))
+    assert bytes(spark.range(1).select(data.alias("d")).first().d)[:3] == b"one"
