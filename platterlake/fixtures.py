@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from .constants import CD_SYNC, ISO_SECTOR, RAW_SECTOR
+from .constants import CD_SYNC, CHD_MAGIC, ISO_SECTOR, RAW_SECTOR
 
 #: Sectors of the parts of :func:`volume`.
 DESCRIPTOR_AT, ROOT_AT, FIRST_FILE_AT = 16, 18, 19
@@ -49,3 +49,20 @@ def raw_sector(data: bytes, mode: int = 2) -> bytes:
 def raw_image(plain: bytes, mode: int = 2) -> bytes:
     """A plain image in raw sectors."""
     return b"".join(raw_sector(plain[i : i + ISO_SECTOR], mode) for i in range(0, len(plain), ISO_SECTOR))
+
+
+def container(units: list[bytes], tags: list[tuple[bytes, bytes]] = (), per_hunk: int = 8) -> bytes:
+    """A compressed-hunk container, version 5, whose hunks are stored plainly; the units have one length."""
+    size = len(units[0])
+    hunk = size * per_hunk
+    data = b"".join(units)
+    hunks = -(-len(data) // hunk)
+    entries, at = b"", 124
+    for i, (tag, text) in enumerate(tags):
+        following = at + len(entries) + 16 + len(text) if i + 1 < len(tags) else 0
+        entries += tag + struct.pack(">IQ", len(text), following) + text
+    map_at = at + len(entries)
+    first = -(-(map_at + 4 * hunks) // hunk)
+    head = CHD_MAGIC + struct.pack(">II16xQQQII", 124, 5, len(data), map_at, at if tags else 0, hunk, size)
+    body = head.ljust(at, b"\0") + entries + b"".join(struct.pack(">I", first + i) for i in range(hunks))
+    return body.ljust(first * hunk, b"\0") + data.ljust(hunks * hunk, b"\0")

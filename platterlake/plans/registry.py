@@ -12,6 +12,8 @@ from ..functions import checksums as K
 from ..functions import names as N
 from ..functions import timecode as T
 from ..operators import chd, cue, hashing, images, layout, pcm, titles
+from ..sources import sheets
+from . import stored
 from . import synth as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -384,3 +386,62 @@ def pcm_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def total_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, tracks = S.audio_sectors(spark, sf_dir)
     return tracks.select("path", pcm.total_samples(F.col("length_sectors")).alias("total"))
+
+
+# --- Files that are read back from the shared folder
+
+
+@query("SELECT n_nationkey::VARCHAR AS path, 21 * CASE WHEN n_nationkey % 2 = 0 THEN 2048 ELSE 2352 END::BIGINT AS length, CASE WHEN n_nationkey % 2 = 0 THEN 'Iso2048' ELSE 'RawSector2352' END AS format FROM nation")
+def stored_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored.read(spark, sf_dir, "image", "head")
+    return rows.select("path", "length", images.detect_format(F.col("head"), F.col("length"))[0].alias("format"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS path, n_name AS volume_identifier, 21::BIGINT AS volume_space_size, 18::BIGINT AS root_dir_extent_lba FROM nation WHERE n_nationkey % 2 = 1")
+def stored_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the descriptor's sector of each raw image is read."""
+    rows = images.volumes(stored.read(spark, sf_dir, "image", "sectors").where("sector = 16")).where("error is null")
+    return rows.select("path", "pvd.volume_identifier", "pvd.volume_space_size", "pvd.root_dir_extent_lba")
+
+
+@query("SELECT n_nationkey::VARCHAR AS path, 5::BIGINT AS version, 19584::BIGINT AS hunk_size, 3::BIGINT AS total_hunks, 51408::BIGINT AS logical_size, 2448::BIGINT AS unit_bytes, NULL::VARCHAR AS error FROM nation")
+def container_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored.read(spark, sf_dir, "container", "chd_info").withColumn("error", F.col("error.kind"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS path, s AS sector, md5(left(repeat(n_name, 2100), 2049 + n_nationkey)[1 + 2048 * (s - 19):2048 * (s - 18)]) AS data FROM nation, (SELECT unnest([19, 20])::BIGINT AS s)")
+def container_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User data of two sectors, without what fills the last."""
+    rows = stored.read(spark, sf_dir, "container", "chd_sectors").where("sector >= 19 and sector < 21 and error is null")
+    data = images.user_data(F.col("raw"))
+    size = F.when(F.col("sector") == 19, 2048).otherwise(F.col("path").cast("int") + 1)
+    return rows.select("path", "sector", F.md5(F.substr(data, F.lit(1), size)).alias("data"))
+
+
+@query(
+    """SELECT n_nationkey::VARCHAR AS path, t AS number, CASE t WHEN 1 THEN 150 ELSE 171 END::BIGINT AS absolute_offset, CASE t WHEN 1 THEN 21 ELSE n_nationkey + 1 END::BIGINT AS length_sectors, NULL::VARCHAR AS error
+FROM nation, (SELECT unnest([1, 2])::BIGINT AS t) WHERE n_nationkey % 5 <> 0 UNION ALL SELECT n_nationkey::VARCHAR, NULL, NULL, NULL, 'InvalidFormat' FROM nation WHERE n_nationkey % 5 = 0"""
+)
+def container_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth container has no tracks."""
+    at = stored.written(spark, sf_dir, "container")
+    load = lambda source: spark.read.format(source).option("path", at).load()
+    rows = layout.read_chd_layout(load("chd_meta"), load("chd_info"))
+    return rows.select(stored.key(F.col("path")).alias("path"), "number", "absolute_offset", "length_sectors", F.col("error.kind").alias("error"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS path, md5(left(repeat(n_name, 2100), 2049 + n_nationkey)) AS content FROM nation")
+def container_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptor, directory and file of the volume in each container."""
+    sectors = stored.read(spark, sf_dir, "container", "chd_sectors").where("error is null").drop("error")
+    wanted = S.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("path"), F.format_string("f%d.txt", "n_nationkey").alias("filename"))
+    return images.file_contents(sectors, images.find_files(sectors, wanted)).select("path", F.md5("content").alias("content"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS path, t AS number, CASE t WHEN 1 THEN 150 ELSE 152 END::BIGINT AS absolute_offset, CASE t WHEN 1 THEN 2 ELSE n_nationkey + 1 END::BIGINT AS length_sectors FROM nation, (SELECT unnest([1, 2])::BIGINT AS t)")
+def folder_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets and sizes of a folder; no image is opened."""
+    at = stored.written(spark, sf_dir, "sheet")
+    found = sheets.read_sheets(spark, at)
+    rows = layout.read_layout(found, sheets.sizes_for(found, sheets.file_sizes(spark, at))).where("error is null")
+    return rows.select(stored.key(F.col("path")).alias("path"), F.col("number").cast("bigint").alias("number"), "absolute_offset", "length_sectors")
