@@ -11,10 +11,13 @@
    of their sizes' sum, so this test drops no link.
 3. In each bucket every class is paired with the one whose buckets hold most classes.
    Pairs whose sketches differ too much are dropped, the rest confirmed on the full sets.
-4. Confirmed links join classes into components.  Buckets that still hold classes of
-   different components are searched again: all pairs across components, in blocks,
-   with the sketch tests inside the join, so only likely pairs leave it.  A pair within
-   one component needs no test, as its link would change nothing.
+4. Confirmed links join classes into components.  The classes of buckets that still
+   hold different components are searched again by an exact prefix filter: their
+   shingles are ordered by frequency, and two sets at the level share one that comes
+   early in both, the earlier the more alike they are.  Texts that share a template
+   meet in its shingles only if the template is enough for a link, so such a bucket does
+   not cost the square of its size.  Sketches and full sets decide as before.  A pair
+   within one component needs no test, as its link would change nothing.
 
 Chances: a pair of similarity 0.75 shares no band with probability 3e-7
 ((1 - 0.75 ** 4) ** 40), and has more than FLIPS differing sketch bits with about
@@ -40,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialize, table, text_blocks, utf8
@@ -52,7 +55,7 @@ BANDS, ROWS = 40, 4
 BITS, FLIPS = 1024, 130
 #: Similarity in hundredths.
 LEVEL = 75
-#: Classes of a bucket that are compared by one task with as many others.
+#: Classes of a shingle that are compared by one task with as many others.
 BLOCK = 512
 
 _RANDOM = np.random.default_rng(5)
@@ -220,6 +223,45 @@ def extended(labels: DataFrame, more: DataFrame) -> DataFrame:
     return materialize(labels.join(to, "root", "left").select("c", F.coalesce("to", "root").alias("root")).unionByName(new), "near-labels")
 
 
+def prefixes(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """From classes (c, root, n): (t, c, root, n, at) for the shingles t that a partner of ``c`` may share first.
+
+    Shingles are ordered by the number of classes that have them, then by value; ``at`` is a shingle's place in
+    its set.  Sets at the level share LEVEL / 100 of either, so the first shingle that they share has no more than the
+    rest of the set before it.  Shingles of one class only come before all others and need no rows.
+    """
+    shingles = classes.join(sets, "c").select("c", "root", "n", F.explode("shingles").alias("t"))
+    shared = shingles.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
+    of_class = Window.partitionBy("c")
+    at = F.col("n") - F.count("*").over(of_class) + F.row_number().over(of_class.orderBy("f", "t")) - 1
+    placed = shingles.join(shared, "t").withColumn("at", at)
+    return materialize(placed.where(100 * (F.col("n") - F.col("at")) >= LEVEL * F.col("n")).select("t", "c", "root", "n", "at"), "near-prefixes")
+
+
+def across(prefix: DataFrame) -> DataFrame:
+    """Pairs (c, d), c < d, of classes of different components that may share enough, from rows of :func:`prefixes`.
+
+    The smaller set of a pair shares at least 2 * LEVEL / (100 + LEVEL) of itself, so it is found by a shorter prefix:
+    texts of one template, which share less than that, do not even meet in its shingles.  Of a shingle the component with
+    most classes never meets itself.  Classes of a shingle meet in cells of BLOCK x BLOCK.
+    """
+    roots = prefix.groupBy("t", "root").agg(F.count("*").alias("size"))
+    held = roots.groupBy("t").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("size"), F.count("*").alias("roots")).where("roots > 1")
+    minor, major = (F.ceil(x / BLOCK).cast("int") for x in (F.col("size") - F.col("most.size"), F.col("most.size")))
+    held = held.select("t", F.col("most.root").alias("main"), minor.alias("minor"), major.alias("major"))
+    place = F.xxhash64("c", "t")
+    own = F.when(F.col("root") == F.col("main"), F.col("minor") + F.pmod(place, "major")).otherwise(F.pmod(place, "minor")).cast("int")
+    rows = prefix.join(held, "t").withColumn("own", own)
+    cells = F.explode(F.sequence(F.lit(0), F.when(F.col("own") < F.col("minor"), F.col("minor") + F.col("major")).otherwise(F.col("minor")) - 1))
+    small = rows.where((100 + LEVEL) * (F.col("n") - F.col("at")) >= 2 * LEVEL * F.col("n"))
+    one = small.select("t", "c", "root", "n", "at", F.col("own").alias("i"), cells.alias("j"))
+    two = rows.select("t", F.col("c").alias("d"), F.col("root").alias("root2"), F.col("n").alias("m"), F.col("at").alias("at2"), cells.alias("i"), F.col("own").alias("j"))
+    larger = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("c") < F.col("d")))
+    enough = (100 + LEVEL) * F.least(F.col("n") - F.col("at"), F.col("m") - F.col("at2")) >= LEVEL * (F.col("n") + F.col("m"))
+    met = one.join(two, ["t", "i", "j"]).where((F.col("root") != F.col("root2")) & larger & (100 * F.col("n") >= LEVEL * F.col("m")) & enough)
+    return met.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, key (of its text), n_shingles, component_id, kept."""
     return _components_of(docs, id_col, text_col).drop("component")
@@ -251,15 +293,11 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     # Buckets that hold classes of several components.
     rest = members.join(labels, "c", "left").select("v", "c", F.coalesce("root", "c").alias("root"))
-    open_ = rest.groupBy("v").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("v", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rest = rest.join(open_, "v").join(about, "c").withColumn("block", F.pmod(F.xxhash64("c", "v"), F.col("blocks")).cast("int"))
-    rest = materialize(rest, "near-rest")
+    open_ = rest.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("v")
+    rest = materialize(rest.join(open_, "v", "left_semi").select("c", "root").distinct().join(classes.select("c", "n"), "c"), "near-rest")
     if not rest.isEmpty():
-        # Blocks i <= j of a bucket meet once: a row goes to (its block, j) and to (i, its block).
-        one = rest.select("v", "c", "root", "about", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
-        two = rest.select("v", F.col("c").alias("d"), F.col("root").alias("root2"), F.col("about").alias("other"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
-        pairs = one.join(two, ["v", "i", "j"]).where((F.col("root") != F.col("root2")) & ((F.col("i") < F.col("j")) | (F.col("c") < F.col("d"))) & likely("about", "other"))
-        more = materialize(confirm(pairs.select(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).distinct(), sets), "near-more")
+        pairs = across(prefixes(rest, sets)).join(about, "c").join(about.withColumnsRenamed({"c": "d", "about": "other"}), "d").where(likely("about", "other"))
+        more = materialize(confirm(pairs.select("c", "d"), sets), "near-more")
         if not more.isEmpty():
             labels = extended(labels, more)
 

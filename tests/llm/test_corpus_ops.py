@@ -162,6 +162,40 @@ def test_near_duplicates(make_docs, odd_texts, spark, monkeypatch):
     assert near_dedup.near_duplicates(make_docs([])).count() == 0
 
 
+def test_prefixes_meet_every_pair_at_the_level(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(11)
+    sets, roots = [], []
+    for family in range(12):
+        base = rng.sample(range(3000), rng.randrange(1, 60))
+        for _ in range(rng.randrange(1, 16)):
+            kept = [x for x in base if rng.random() < 0.93]
+            sets.append(set(kept + rng.sample(range(3000), rng.randrange(0, 8))) or {family})
+            roots.append(rng.choice([family, family, len(roots) + 100]))
+    sets += [set(range(9)), set(range(10, 17)), {5}, {5}, set(range(9)) | {11}]
+    roots += [500, 501, 502, 503, 504]
+    classes = spark.createDataFrame([(i, r, len(s)) for i, (s, r) in enumerate(zip(sets, roots, strict=True))], "c long, root long, n long")
+    full = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "c long, shingles array<bigint>")
+    got = {(r.c, r.d) for r in near_dedup.across(near_dedup.prefixes(classes, full)).collect()}
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if roots[i] != roots[j]]
+    want = {(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert len(want) > 30 and want <= got <= set(pairs)
+
+
+def test_texts_of_one_template_do_not_meet(spark):
+    # Similarity 0.5, 0.6 and 0.7 within a family: no shingle of the template is early enough in the smaller set.
+    rng, sets = random.Random(5), []
+    for family, shared in enumerate((67, 75, 82)):
+        template = [family * 1000 + i for i in range(shared)]
+        sets += [template + rng.sample(range(10_000, 10**9), 100 - shared) for _ in range(60)]
+    classes = spark.createDataFrame([(i, i, len(s)) for i, s in enumerate(sets)], "c long, root long, n long")
+    full = spark.createDataFrame(list(enumerate(sets)), "c long, shingles array<bigint>")
+    prefix = near_dedup.prefixes(classes, full)
+    assert near_dedup.across(prefix).count() == 0
+    short = prefix.where("7 * (n - at) >= 6 * n").groupBy("t").count().agg(F.max("count")).first()[0]
+    assert short is None or short <= 2
+
+
 def test_sketch_estimates_high_similarity():
     rng = np.random.default_rng(3)
     for j in (0.75, 0.9):
