@@ -230,12 +230,14 @@ def prefixes(classes: DataFrame, sets: DataFrame) -> DataFrame:
     its set.  Sets at the level share LEVEL / 100 of either, so the first shingle that they share has no more than the
     rest of the set before it.  Shingles of one class only come before all others and need no rows.
     """
-    shingles = classes.join(sets, "c").select("c", "root", "n", F.explode("shingles").alias("t"))
+    # Rows of shingles have a number for their class, of which few bytes are left once compressed.
+    classes = materialize(classes.withColumn("k", F.monotonically_increasing_id()), "near-numbered")
+    shingles = classes.join(sets, "c").select("k", F.explode("shingles").alias("t"))
     shared = shingles.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
-    of_class = Window.partitionBy("c")
-    at = F.col("n") - F.count("*").over(of_class) + F.row_number().over(of_class.orderBy("f", "t")) - 1
-    placed = shingles.join(shared, "t").withColumn("at", at)
-    return materialize(placed.where(100 * (F.col("n") - F.col("at")) >= LEVEL * F.col("n")).select("t", "c", "root", "n", "at"), "near-prefixes")
+    of_class = Window.partitionBy("k")
+    left = F.count("*").over(of_class) - F.row_number().over(of_class.orderBy("f", "t")) + 1
+    placed = shingles.join(shared, "t").select("k", "t", left.alias("left")).join(classes, "k").where(100 * F.col("left") >= LEVEL * F.col("n"))
+    return materialize(placed.select("t", "c", "root", "n", (F.col("n") - F.col("left")).alias("at")), "near-prefixes")
 
 
 def across(prefix: DataFrame) -> DataFrame:
