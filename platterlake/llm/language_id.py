@@ -7,9 +7,11 @@ characters; the mean over what is found stands for the word.  A document's score
 for a language is the sum over its words; the answer is the best language, and
 its confidence the share of the document's evidence, by word, that agrees.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE`` documents of
-each language, smallest hash of the id first, none over ``LONGEST`` characters) and holds at most ``ENTRIES`` words
-or n-grams in all, so its size is bounded whatever the corpus; it is broadcast.
+The model is fitted on a bounded sample of labelled rows: ``SAMPLE`` documents of
+each language at most, smallest hash of the id first, none over ``LONGEST`` characters, and no more of them than
+fit a language's equal part of ``CHARACTERS``.  It holds at most ``ENTRIES`` words or n-grams and
+``VALUES`` log frequencies in all, so sample and model are bounded whatever the corpus and however many its
+languages; the model is broadcast.
 
 Defined results: null text, or text without a letter, gives ``und`` and 0; a letter
 that no language knows tells nothing, and ties go to the first language by name;
@@ -34,6 +36,8 @@ from ._words import mix, span_hashes
 
 #: Labelled documents of a language in the sample, characters of one at most, entries of the model, lengths of n-grams.
 SAMPLE, LONGEST, ENTRIES, ORDERS = 800, 200_000, 400_000, (5, 4, 3, 2, 1)
+#: Characters of the whole sample, log frequencies of the whole model.
+CHARACTERS, VALUES = 100_000_000, 16_000_000
 UNKNOWN = "und"
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -186,24 +190,22 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
-    """Fit on the ``sample`` documents of smallest id hash in each language."""
+    """Fit on the ``sample`` documents of smallest id hash in each language, as far as they fit its part of CHARACTERS."""
     rows = labelled.where((F.length(text_col) <= LONGEST) & F.col(lang_col).isNotNull())
-    ids = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(3), F.col(id_col)).alias("h"))
-    langs = [r.lang for r in ids.select("lang").distinct().collect()]
-    total = ids.count()
-    # Few more rows than needed reach the window: a hash threshold a language, from its count.
-    some = None
-    for r in ids.groupBy("lang").count().collect():
-        part = min(1.0, 1.5 * sample / r["count"] + 20 / max(total, 1))
-        limit = int(-(1 << 63) + part * ((1 << 64) - 1))
-        here = (F.col("lang") == r.lang) & (F.col("h") <= F.lit(min(limit, (1 << 63) - 1)))
-        some = here if some is None else some | here
-    if not langs:
+    h = F.xxhash64(F.lit(3), F.col(id_col))
+    sizes = rows.groupBy(F.col(lang_col).alias("lang")).count().collect()  # a row a language, like the model
+    if not sizes:
         return fit([], [])
-    own = rows.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(3), F.col(id_col)).alias("h")).where(some)
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("t")))
-    got = own.withColumn("n", first).where(F.col("n") <= sample).orderBy("lang", "n").collect()
-    return fit([r.t for r in got], [r.lang for r in got], entries)
+    total = sum(r["count"] for r in sizes)
+    # Few more rows than needed reach the window: a hash threshold a language, from its count.
+    parts = [(r.lang, min(1.0, 1.5 * sample / r["count"] + 20 / total)) for r in sizes]
+    limits = labelled.sparkSession.createDataFrame([(x, min(int(-(1 << 63) + p * ((1 << 64) - 1)), (1 << 63) - 1)) for x, p in parts], "l string, most long")
+    own = rows.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("lang"), h.alias("h"))
+    own = own.join(F.broadcast(limits), (F.col("lang") == F.col("l")) & (F.col("h") <= F.col("most")))
+    order = Window.partitionBy("lang").orderBy("h", F.xxhash64("t"))
+    own = own.withColumn("n", F.row_number().over(order)).withColumn("chars", F.sum(F.length("t")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    got = own.where((F.col("n") <= sample) & ((F.col("n") == 1) | (F.col("chars") <= CHARACTERS // len(sizes)))).orderBy("lang", "n").collect()
+    return fit([r.t for r in got], [r.lang for r in got], min(entries, VALUES // len(sizes)))
 
 
 def identify(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
