@@ -10,7 +10,7 @@ their parents, rich ones speak for themselves.  A document's score is its own od
 times the odds that its path, without it, adds to the global ones.
 
 The models are fitted on at most ``SAMPLE`` labelled documents (smallest hash of the
-id first, none over ``LONGEST`` characters, near copies once) with ``WORDS`` words a
+id first, none over ``LONGEST`` characters, ``CHARACTERS`` in all, near copies once) with ``WORDS`` words a
 model at most; everything else covers all documents by grouped aggregation.
 
 Scale: the models' size is bounded, so they are broadcast; sums by host and path are
@@ -19,7 +19,7 @@ adaptive execution can split a host with a third of the rows.
 
 Defined results: a null or empty text has no evidence and scores as its path without
 it; a null host or path is a site of its own; rows whose label is null are not learned
-from; without labels of both classes a model says 1/2 for
+from; of contradicting labels of one id the lower quality and the toxic one count; without labels of both classes a model says 1/2 for
 all; repeated rows are separate documents; other columns are ignored; an empty table
 gives an empty result.
 """
@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import materialize, table, text_blocks
@@ -39,7 +39,7 @@ from ._words import LOWER, span_hashes
 from .near_dedup import band_values, minhash, shingle_sets
 from .quality_rules import View
 
-SAMPLE, LONGEST, WORDS = 4000, 50_000, 250
+SAMPLE, LONGEST, WORDS, CHARACTERS = 4000, 50_000, 250, 60_000_000
 #: Texts of the sample that are read at once.
 STEP = 200
 LETTER = np.zeros(256, bool)
@@ -172,9 +172,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample
     marked = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("q"), F.col("toxic").cast("double").alias("t")).dropna()
     n = marked.count()
     limit = int(-(1 << 63) + min(1.0, (1.5 * sample + 50) / max(n, 1)) * ((1 << 64) - 1))
-    some = marked.where(h <= F.lit(min(limit, (1 << 63) - 1))).dropDuplicates(["id"])
+    some = marked.where(h <= F.lit(min(limit, (1 << 63) - 1))).groupBy("id").agg(F.min("q").alias("q"), F.max("t").alias("t"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= LONGEST)
-    got = texts.join(some, "id").orderBy(h, F.xxhash64("text")).limit(sample).collect()
+    first = texts.join(some, "id").withColumn("h", h).orderBy("h", F.xxhash64("text")).limit(sample)
+    before = Window.orderBy("h", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)  # over ``sample`` rows at most
+    got = first.withColumn("chars", F.sum(F.length("text")).over(before)).where(F.col("chars") <= CHARACTERS).collect()
     return fit([r.text for r in got], np.array([[r.q, r.t] for r in got]).reshape(-1, 2))
 
 
