@@ -68,6 +68,43 @@ def test_mix_meets_targets(make_docs, spark):
         assert sorted(r.rank for r in seen if r.sid == sid) == list(range(n))
 
 
+def slow_taken(lines, weights=(5, 2, 1)):
+    """Words that the schedule takes of each document, from each source's (h, size) in line order."""
+    sizes = [sum(n for _, n in line) for line in lines]
+    goals = filled(sizes, [weights[i % 3] for i in range(len(lines))])
+    blocks = [-(-size // max(1, min(2048, int(goal // 1024)))) for size, goal in zip(sizes, goals, strict=True)]
+    shares = [goal * n / size if size else 0.0 for goal, n, size in zip(goals, blocks, sizes, strict=True)]
+    ends = np.cumsum(shares) / max(sum(shares), 1e-300)
+    met, uses = [0] * len(lines), [[0] * n for n in blocks]
+    for i in range(round(sum(shares))):
+        point = float(i * mixing.PHI % 1)
+        sid = min(int(np.searchsorted(ends, point, "right")), len(lines) - 1)
+        block, turn = met[sid] % blocks[sid], met[sid] // blocks[sid]
+        met[sid] += 1
+        uses[sid][block] += turn < 3
+    out = []
+    for line, size, n, used in zip(lines, sizes, blocks, uses, strict=True):
+        of = [b for b in range(n) for _ in range(size // n + (b < size % n))]
+        at = 0
+        for h, k in line:
+            out.append((h, k, sum(used[b] for b in of[at : at + k])))
+            at += k
+    return sorted(out)
+
+
+def test_taken_words_follow_the_schedule(make_docs, spark):
+    rng = random.Random(9)
+    size = lambda i: 30_000 if i == 7 else rng.randrange(0, 300)  # noqa: E731  one text spans many blocks
+    docs = make_docs([(i, f"{i} " * size(i), "en", rng.choice(["a", "a", "b", "c", None])) for i in range(300)])
+    line = defaultdict(list)
+    for r in mixing.sized(docs, "text", "source", 1, ("doc_id",)).collect():
+        line[r.source].append((r.h, r.size))
+    want = slow_taken([sorted(line[s]) for s in ("a", "b", "c", None)])
+    pieces = mixing.mix(docs, keep=("doc_id",))[2]
+    got = pieces.groupBy("h", "size").agg(F.coalesce(F.sum(F.col("words") * F.col("uses")), F.lit(0)).alias("taken")).collect()
+    assert sorted((r.h, r.size, r.taken) for r in got) == want
+
+
 def test_mix_of_nothing(make_docs, spark):
     assert mix_rows(make_docs, spark, [])[0] == []
     got, _ = mix_rows(make_docs, spark, [(1, None, "en", None), (2, " ", "en", "s")])
@@ -346,6 +383,53 @@ def test_language_is_learned_and_kept_apart(make_docs, spoken, odd_texts):
     assert [r.lang_pred for r in language_id.identify(make_docs(["the"]), none).collect()] == ["und"]
 
 
+def slow_language(labelled, text):
+    """Language and confidence by the definition, word by word; every entry fits the model."""
+    langs = sorted({x for _, x in labelled})
+    cut = lambda t: re.findall("[a-z\x80-\U0010ffff]+", t.lower())
+    counts = {k: defaultdict(lambda: [0] * len(langs)) for k in range(6)}
+    for t, lang in labelled:
+        for w in cut(t):
+            counts[0][w][langs.index(lang)] += 1
+            for k in range(1, 6):
+                for i in range(len(w) + 3 - k):
+                    counts[k][f" {w} "[i : i + k]][langs.index(lang)] += 1
+    whole = {k: np.sum(list(c.values()), 0) + 0.5 * len(c) for k, c in counts.items()}
+
+    def logs(k, x):
+        rate = np.log((np.array(counts[k][x]) + 0.5) / whole[k])
+        return rate - rate.mean()
+
+    def of_word(w):
+        if w in counts[0] and sum(counts[0][w]) >= 2:
+            return logs(0, w)
+        b = f" {w} "
+        found, open_ = [], set(range(len(b) - 4))
+        for k in range(5, 0, -1):
+            open_ |= {0} if len(b) == k else set()
+            hit = {i for i in open_ if b[i : i + k] in counts[k]}
+            found += [logs(k, b[i : i + k]) for i in sorted(hit)]
+            open_ = {j for i in open_ - hit for j in (i, i + 1)}
+        return np.mean(found, 0) if found else np.zeros(len(langs))
+
+    if not any(c.isalpha() for c in text):
+        return "und", 0.0
+    scores = [of_word(w) for w in cut(text)]
+    best = int(np.argmax(np.sum(scores, 0)))
+    gap = sum(s.max() - s.min() for s in scores)
+    return langs[best], float(sum(s[best] - s.min() for s in scores) / max(gap, 1e-9))
+
+
+def test_predictions_equal_the_definition(spoken, odd_texts):
+    labelled = [(t, lang) for _, t, lang, _ in spoken[:120] if lang]
+    model = language_id.fit([t for t, _ in labelled], [x for _, x in labelled])
+    texts = [t for _, t, *_ in spoken[120:]] + [t for t in odd_texts if t is not None and len(t) < 1000] + ["a", "ab", "the", "schq éau", "ß", "über quark"]
+    got = zip(*language_id.predict(model, pa.array(texts, pa.large_string())), strict=True)
+    for text, (lang, score) in zip(texts, got, strict=True):
+        want = slow_language(labelled, text)
+        assert lang == want[0] and score == pytest.approx(want[1], abs=1e-4), text
+
+
 def test_unseen_words_back_off_to_shorter_ngrams():
     model = language_id.fit(["abcdef abcdef abcdef", "uvwxyz uvwxyz uvwxyz"], ["one", "two"])
     for text, want in (("abcdef", "one"), ("abcdeq", "one"), ("qqqabq", "one"), ("qyz", "two"), ("qqz", "two")):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from platterlake.llm import quality_bayes
+from platterlake.llm import language_id, quality_bayes
 from tests.llm.test_corpus_ops import SAYS, WORD, shingles, slow_lines
 
 
@@ -106,3 +106,81 @@ def test_sparse_sites_shrink_to_their_parents(spark):
     assert got[0].path_posterior > 0.85 and got[500].path_posterior < 0.15
     assert 0.1 < got[900].host_posterior < 0.5  # one other document moves it only partly
     assert got[902].path_posterior == pytest.approx(got[902].host_posterior) and got[902].host_posterior > 0.85
+
+
+def slow_pooled(rows):
+    """Posteriors and scores by the formulas, one document after another."""
+    told = [r for r in rows if r[3] is not None]
+    mean = sum(r[3] for r in told) / len(told)
+
+    def strength(sites, parent):
+        up = down = 0.0
+        for site, p in sites.items():
+            if len(p) > 1:
+                m = sum(p) / len(p)
+                noise = max(sum((x - m) ** 2 for x in p) / len(p), 0.0) / len(p)
+                up += len(p) * ((m - parent(site)) ** 2 - noise)
+                down += len(p)
+        v = mean * (1 - mean)
+        return min(max(v / (up / down) - 1, 1.0), 1e4) if down and up > 0 else 1e4
+
+    hosts, paths = {}, {}
+    for _, host, path, p, _ in told:
+        hosts.setdefault(host, []).append(p)
+        paths.setdefault((host, path), []).append(p)
+    k_host = strength(hosts, lambda _: mean)
+    k_path = strength(paths, lambda s: (k_host * mean + sum(hosts[s[0]])) / (k_host + len(hosts[s[0]])))
+    odds = lambda p: np.log(p / (1 - p))
+    out = []
+    for i, host, path, p, logit in rows:
+        rest = lambda site: (sum(site) - (p or 0.0), len(site) - (p is not None))  # noqa: E731, B023
+        s, n = rest(hosts.get(host, []))
+        of_host = (k_host * mean + s) / (k_host + n)
+        s, n = rest(paths.get((host, path), []))
+        of_path = (k_path * of_host + s) / (k_path + n)
+        z = (odds(mean) if logit is None else logit) + odds(of_path) - odds(mean)
+        out.append((i, of_host, of_path, 1 / (1 + np.exp(-z))))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_posteriors_equal_the_formulas(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(300):
+        host, path = rng.choice(["a", "b", None, "c"]), rng.choice(["x", None, "y", "z"])
+        p = None if rng.random() < 0.1 else round(min(max(rng.gauss({"a": 0.9, "b": 0.3}.get(host, 0.6) + {"x": 0.05}.get(path, 0), 0.1), 0.01), 0.99), 3)
+        rows.append((i, host, path, p, None if p is None else float(np.log(p / (1 - p)))))
+    rows += [(400, "lone", "x", 0.2, -1.4), (401, "void", None, None, None)]
+    got = quality_bayes.pooled(spark.createDataFrame(rows, "doc_id long, host string, path string, evidence double, logit double")).collect()
+    want = {r[0]: r[1:] for r in slow_pooled(rows)}
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.host_posterior, r.path_posterior, r.score) == pytest.approx(want[r.doc_id], rel=1e-6), r
+
+
+def test_contradicting_labels_always_count_alike(make_docs, judged, spark):
+    rows, labels = judged
+    docs = make_docs(rows)
+    told = [*labels, *((i, 1 - q, 1 - t) for i, q, t in labels[:200])]
+    schema = "doc_id long, quality int, toxic int"
+    one, two = (quality_bayes.learn(docs, spark.createDataFrame(x, schema).repartition(4), "doc_id", "text") for x in (told, told[::-1]))
+    settled = [(i, 0, 1) for i, _, _ in labels[:200]] + labels[200:]
+    want = quality_bayes.learn(docs, spark.createDataFrame(settled, schema), "doc_id", "text")
+    for model in (one, two):
+        assert (model.words == want.words).all() and np.allclose(model.weights, want.weights)
+
+
+def test_samples_are_bounded_in_characters(make_docs, judged, spark, monkeypatch):
+    rows, labels = judged
+    seen = []
+    monkeypatch.setattr(quality_bayes, "fit", lambda texts, got: seen.append(texts))
+    monkeypatch.setattr(quality_bayes, "CHARACTERS", 5000)
+    quality_bayes.learn(make_docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "doc_id", "text")
+    assert 4000 < sum(map(len, seen[0])) <= 5000
+    monkeypatch.setattr(language_id, "fit", lambda texts, langs, entries: seen.append((texts, langs, entries)))
+    monkeypatch.setattr(language_id, "CHARACTERS", 6000)
+    monkeypatch.setattr(language_id, "VALUES", 300)
+    language_id.learn(make_docs([(i, "word " * 20 if i % 3 else "w" * 9000, "abc"[i % 3], "s") for i in range(300)]))
+    texts, langs, entries = seen[1]
+    assert entries == 100 and Counter(langs) == {"a": 1, "b": 20, "c": 20}  # one text of a language always counts

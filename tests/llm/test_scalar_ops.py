@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from platterlake.llm import byte_bpe, quality_rules, telephony
 
@@ -77,6 +78,37 @@ def test_media_digest(make_docs, odd_texts):
     assert telephony.media_digest(make_docs([])).count() == 0
 
 
+def slow_feature(payload):
+    """Mean square, peak and zero crossings of the three signals, one sample after another."""
+    flat = telephony.ALAW[list(payload)].tolist()
+    pcm = [x for a, b in zip(flat, [*flat[1:], flat[-1]], strict=True) for x in (a, a + (b - a) // 2)]
+    adpcm = [x for i in range(0, len(payload), 64) for x in slow_adpcm(payload[i : i + 64])]
+    told = lambda x: f"{sum(v * v for v in x) // len(x)}/{max(map(abs, x))}/{sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))}"  # noqa: E731, B905
+    return f"pcm={told(pcm)};ulaw={told(telephony.ULAW[list(payload)].tolist())};adpcm={told(adpcm)}"
+
+
+def test_media_feature_equals_plain_computation(make_docs, odd_texts):
+    texts = [t[:5000] if t else t for t in odd_texts]  # the slow version takes long over more
+    for r in telephony.media_digest(make_docs(texts)).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        assert r.feature == slow_feature(raw + bytes(max(-(-len(raw) // 64), 1) * 64 - len(raw)))
+
+
+def test_null_and_repeated_ids_and_clashing_columns(make_docs, vocab):
+    """Rows are independent: neither their ids nor other columns, whatever their names, change a result."""
+    path, pattern, _, _ = vocab
+    rows = [(1, "one two three one two three", "en", "s"), (1, "one two three one two three", "en", "s"), (1, "other", None, None), (None, "no id", "en", None), (None, None, "en", "s")]
+    plain, clash = make_docs(rows), make_docs(rows)
+    for c in ("n_bytes", "n_words", "n_tokens", "kept", "feature", "media_sha256", "ids", "row", "id", "score", "held_out", "__text"):
+        clash = clash.withColumn(c, F.lit("clash"))
+    for op in (telephony.media_digest, quality_rules.quality_cascade, lambda d: byte_bpe.encode_column(d, path, pattern)):
+        one, two = (sorted(map(repr, op(d).collect())) for d in (plain, clash))
+        assert one == two and len(one) == len(rows)
+        by_id = Counter(r.doc_id for r in op(clash).collect())
+        assert by_id == {1: 3, None: 2}
+        assert max(Counter(one).values()) == 2  # equal rows, equal results
+
+
 def slow_rules(text):
     text = text or ""
     words = WORD.findall(text)

@@ -59,6 +59,29 @@ def test_remove_repeats(make_docs, odd_texts, places):
     assert all(bytes(r.kept) in kept[r.doc_id] for r in got)
 
 
+def test_texts_of_many_tiles_are_searched_whole(make_docs):
+    """A text of 3 MB, many tiles and more than a chunk, shares strings with itself far apart and with a short text."""
+    rng = random.Random(5)
+    letters = lambda k: bytes(rng.getrandbits(8) % 60 + 40 for _ in range(k)).decode()
+    body, common, edge = letters(3 << 20), letters(900), letters(240)
+    far = body[:100_000] + common + body[100_000:2_000_000] + "é" + common[50:800] + body[2_000_000:]
+    rows = [(1, far, "en", "s"), (2, letters(40) + common[100:500] + letters(30), "en", "s"), (3, edge + body[1 << 18 : (1 << 18) + 199], "en", "s"), (4, edge, "en", "s")]
+    got = sorted(tuple(r[:5]) for r in sd.remove_repeats(make_docs(rows)).collect())
+    raw = {r[0]: r[1].encode() for r in rows}
+    n = Counter(hash(x[i : i + 200]) for x in raw.values() for i in range(len(x) - 199))
+    want = []
+    for i, x in raw.items():
+        gone = np.zeros(len(x) + 1, np.int64)
+        for at in range(len(x) - 199):
+            if n[hash(x[at : at + 200])] > 1:
+                gone[at] += 1
+                gone[at + 200] -= 1
+        out = np.cumsum(gone)[:-1] > 0
+        kept = np.frombuffer(x, np.uint8)[~out].tobytes()
+        want.append((i, len(x), int(out.sum()), int(out[0]) + int((out[1:] & ~out[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
+    assert got == want and want[0][2] == 2 * 750
+
+
 def test_nothing(make_docs):
     assert sd.remove_repeats(make_docs([])).count() == 0
     assert [tuple(r)[1:4] for r in sd.remove_repeats(make_docs([None, ""])).collect()] == [(0, 0, 0)] * 2
