@@ -38,6 +38,8 @@ from ._words import mix, span_hashes
 SAMPLE, LONGEST, ENTRIES, ORDERS = 800, 200_000, 400_000, (5, 4, 3, 2, 1)
 #: Characters of the whole sample, log frequencies of the whole model.
 CHARACTERS, VALUES = 100_000_000, 16_000_000
+#: Bytes of text that are counted at once while the model is fitted.
+FIT_BLOCK = 1 << 18
 UNKNOWN = "und"
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -101,35 +103,56 @@ class Model:
         return np.where(self.keys[at] == hashes, at, -1)
 
 
-def _counts(hashes: np.ndarray, lang: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(hashes, return_inverse=True)
-    return keys, np.bincount(at * languages + lang, minlength=len(keys) * languages).reshape(-1, languages)
+def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and counts of several such parts together."""
+    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+
+
+def _tally(parts: list[tuple[np.ndarray, np.ndarray]], hashes: np.ndarray) -> None:
+    """Counts the hashes; parts of like size are merged, so that a key is held a few times at most, however many the blocks."""
+    parts.append(np.unique(hashes, return_counts=True))
+    while len(parts) > 1 and len(parts[-2][0]) <= 2 * len(parts[-1][0]):
+        parts[-2:] = [_sum(parts[-2:])]
+
+
+def _look_up(part: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """Count of each key, 0 if it is not there."""
+    at = np.searchsorted(part[0], keys)
+    inside = np.append(part[0], np.uint64(0))[at] == keys
+    return np.where(inside & (at < len(part[0])), np.append(part[1], 0)[at], 0)
 
 
 def fit(texts: list[str], langs: list[str], entries: int = ENTRIES) -> Model:
-    """Model of the labelled texts; half of the entries are words, the rest n-grams, the most frequent first."""
+    """Model of the labelled texts; half of the entries are words, the rest n-grams, the most frequent first.
+
+    One language and FIT_BLOCK bytes of text at a time: beside the texts, only the keys that a language has are held, and
+    counts by language only for the entries that the model keeps.
+    """
     languages = sorted(set(langs))
     if not languages:
         return Model([], np.empty(0, np.uint64), np.empty((0, 0)))
-    number = np.array([languages.index(x) for x in langs])
-    kinds: dict[int, list] = {k: [] for k in (0, *ORDERS)}
-    for b in text_blocks(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string()), pa.array(number)], ["t", "n"])]), "t"):
-        data, start, end, row = letter_words(b.column("t"))
-        lang = b.column("n").to_numpy()[row]
-        kinds[0].append(_counts(span_hashes(data, start, end), lang, len(languages)))
-        points, first, length = characters(data, start, end)
-        for k in ORDERS:
-            fits = np.repeat(length, length) - (np.arange(len(points)) - np.repeat(first, length)) >= k
-            kinds[k].append(_counts(gram_hashes(points, k)[fits], np.repeat(lang, length)[fits], len(languages)))
+    by: dict[str, list[str]] = {x: [] for x in languages}
+    for text, lang in zip(texts, langs, strict=True):
+        by[lang].append(text)
+    kinds: dict[int, list] = {k: [[] for _ in languages] for k in (0, *ORDERS)}
+    for i, lang in enumerate(languages):
+        for b in text_blocks(iter([pa.RecordBatch.from_arrays([pa.array(by[lang], pa.large_string())], ["t"])]), "t", FIT_BLOCK):
+            data, start, end, _ = letter_words(b.column("t"))
+            _tally(kinds[0][i], span_hashes(data, start, end))
+            points, first, length = characters(data, start, end)
+            left = np.repeat(first + length, length) - np.arange(len(points))  # characters of the word from each place on
+            for k in ORDERS:
+                _tally(kinds[k][i], gram_hashes(points, k)[left >= k])
     keys, logs = [], []
-    for k, parts in kinds.items():
-        key, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        count = np.zeros((len(key), len(languages)))
-        np.add.at(count, at, np.concatenate([p[1] for p in parts]))
+    for k in (0, *ORDERS):
+        own = [_sum(parts) for parts in kinds.pop(k)]
+        key, total = _sum(own)
         most = entries // 2 if k == 0 else entries // (2 * len(ORDERS))
-        seen = count.sum(1) >= (2 if k == 0 else 1)  # a word met once tells less than its n-grams
-        best = np.sort(np.argsort(-np.where(seen, count.sum(1), -1), kind="stable")[: min(most, int(seen.sum()))])
-        rate = (count[best] + 0.5) / (count.sum(0) + 0.5 * len(key))
+        seen = total >= (2 if k == 0 else 1)  # a word met once tells less than its n-grams
+        best = np.sort(np.argsort(-np.where(seen, total, -1), kind="stable")[: min(most, int(seen.sum()))])
+        count = np.stack([_look_up(p, key[best]) for p in own], 1)
+        rate = (count + 0.5) / (np.array([p[1].sum() for p in own]) + 0.5 * len(key))
         keys.append(key[best])
         logs.append(np.log(rate) - np.log(rate).mean(1, keepdims=True))  # only differences between languages count
     key, log = np.concatenate(keys), np.concatenate(logs)
