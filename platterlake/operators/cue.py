@@ -1,69 +1,22 @@
-"""Cue sheets as tables: lines, files, tracks, indexes, compatibility, conversion.
+"""Cue sheets as tables: files, tracks, indexes, compatibility, conversion.
 
-A sheet is a row ``(path, text)``; its lines become rows, and what a sequential reader
-would remember (the current file, the last track) is a window over the sheet's lines.
-All windows of a function partition by ``path``, so a function shuffles once.  Errors
-are rows ``(path, error)``: one bad sheet leaves the others alone.
+A sheet is a row ``(path, text)`` and is read within its row by :mod:`.sheet_text`, so
+nothing is dealt or sorted.  Errors are rows ``(path, error)``: one bad sheet leaves the
+others alone.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DISC_TYPES, EXTRA_DIRECTIVES, FILE_TYPES
 from ..errors import invalid_format
-from ..functions import timecode as T
-from ..functions.names import trim_all, unsigned
+from . import sheet_text
+from .sheet_text import BYTE_OFFSET, NO_FILE, NO_OUTPUT, NO_TRACKS, OPEN_QUOTE, TOO_MANY, UNFIXABLE
 
-NO_FILE = "CUE sheet contains no FILE entries"
-OPEN_QUOTE = "Unterminated quote in CUE FILE line"
-NO_TRACKS = "CUE has no tracks after parsing"
-NO_OUTPUT = "CUE sheet produced no output after conversion"
-BYTE_OFFSET = "AUDIOFILE with byte offset (#) cannot be converted to standard CUE"
-TOO_MANY = "CUE sheet has more than 255 TRACK lines"
-UNFIXABLE = "AUDIOFILE with byte offset (#) cannot be converted to standard CUE without splitting the audio file"
-
-_FILES = ("FILE", "DATAFILE", "AUDIOFILE")
-
-
-def _by_path(*more: str) -> Window:
-    return Window.partitionBy("path", *more).orderBy("p")
-
-
-def sheet_lines(sheets: DataFrame, strip_bom: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Non-blank lines: path, p (number in the sheet), line (trimmed), upper, kind, words.
-
-    Each sheet ends with one row of kind END and without a line, so that none is lost;
-    it alone has the columns to ``keep``.
-    """
-    text = F.regexp_replace("text", "\\A\ufeff", "") if strip_bom else F.col("text")
-    lines = F.concat(F.coalesce(F.split(text, "\n", -1), F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
-    rows = sheets.select("path", F.posexplode(lines).alias("p", "line"), *keep)
-    rows = rows.withColumn("line", trim_all(F.col("line"))).where("line is null or line != ''").withColumn("upper", F.upper("line"))
-    kind = F.when(F.col("line").isNull(), "END").when(F.col("line").startswith("//"), "COMMENT")
-    for word in (*_FILES, "TRACK", "INDEX", "PREGAP", "POSTGAP"):
-        kind = kind.when(F.col("upper").startswith(f"{word} "), word)
-    kept = [F.when(F.col("line").isNull(), F.col(c)).alias(c) for c in keep]
-    return rows.select("path", "p", "line", "upper", kind.otherwise("OTHER").alias("kind"), F.split("line", r"(?U)\s+").alias("words"), *kept)
-
-
-def _file_parts(line: Column, kind: Column) -> tuple[Column, Column, Column]:
-    """Name, what follows it, and whether its quote is open, of a FILE, DATAFILE or AUDIOFILE line."""
-    rest = F.substr(line, F.length(kind) + 2)
-    quoted = rest.startswith('"')
-    closed = rest.rlike('(?s)\\A"[^"]*"')
-    name = F.when(quoted, F.regexp_extract(rest, '(?s)\\A"([^"]*)"', 1)).otherwise(F.substring_index(rest, " ", 1))
-    after = F.when(quoted, F.regexp_replace(rest, '(?s)\\A"[^"]*"', "")).otherwise(F.regexp_replace(rest, "(?s)\\A[^ ]* ?", ""))
-    return name, trim_all(after), quoted & ~closed
-
-
-def _track_parts(words: Column, auto: Column) -> tuple[Column, Column]:
-    """Number and mode of a TRACK line; ``auto`` counts the TRACK lines."""
-    number = F.when(F.size(words) >= 3, unsigned(F.get(words, F.lit(1)), 255))
-    return F.coalesce(number, auto).cast("bigint"), F.when(number.isNotNull(), F.get(words, F.lit(2))).otherwise(F.get(words, F.lit(1)))
+__all__ = ["BYTE_OFFSET", "NO_FILE", "NO_OUTPUT", "NO_TRACKS", "OPEN_QUOTE", "TOO_MANY", "UNFIXABLE", "Parsed", "compatibility", "convert", "parse", "standardize"]
 
 
 class Parsed(NamedTuple):
@@ -76,82 +29,33 @@ class Parsed(NamedTuple):
     errors: DataFrame
 
 
-def _events(sheets: DataFrame, strip_bom: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Lines with file_no (files begun so far), ordinal (TRACK lines so far) and last_owner (file of the last track)."""
-    rows = sheet_lines(sheets, strip_bom, keep).where(F.col("kind").isin(*_FILES, "TRACK", "INDEX", "END"))
-    so_far = _by_path().rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("file_no", F.count(F.when(F.col("kind").isin(*_FILES), 1)).over(so_far))
-    rows = rows.withColumn("ordinal", F.count(F.when(F.col("kind") == "TRACK", 1)).over(so_far))
-    # Tracks before the first file belong to it.
-    rows = rows.withColumn("owner", F.greatest("file_no", F.lit(1).cast("bigint")))
-    return rows.withColumn("last_owner", F.last(F.when(F.col("kind") == "TRACK", F.col("owner")), True).over(so_far))
-
-
-def sheet_errors(events: DataFrame) -> DataFrame:
-    _, _, broken = _file_parts(F.col("line"), F.col("kind"))
-    is_file = F.col("kind").isin(*_FILES)
-    found = events.groupBy("path").agg(F.max(F.when(is_file, broken)).alias("broken"), F.max("file_no").alias("files"), F.max("ordinal").alias("tracks"))
-    told = F.when(F.coalesce("broken", F.lit(False)), OPEN_QUOTE).when(F.coalesce("files", F.lit(0)) == 0, NO_FILE).when(F.col("tracks") > 255, TOO_MANY)
-    return found.select("path", invalid_format(told).alias("error")).where("error is not null")
-
-
 def parse(sheets: DataFrame, strip_bom: bool = False) -> Parsed:
     """Files, tracks and indexes of standard and extended sheets.
 
     An index belongs to the last track if that track is of the current file, else it is
     left out, as are lines of any other kind and indexes that are malformed.
     """
-    events = _events(sheets, strip_bom)
-    errors = sheet_errors(events)
-    good = events.join(errors.select("path"), "path", "left_anti")
-    name, after, _ = _file_parts(F.col("line"), F.col("kind"))
-    files = good.where(F.col("kind").isin(*_FILES)).select("path", "file_no", name.alias("filename"), F.when(F.col("kind") == "DATAFILE", "BINARY").otherwise(after).alias("file_type"))
-    number, mode = _track_parts(F.col("words"), F.col("ordinal"))
-    tracks = good.where("kind = 'TRACK'").select("path", F.col("owner").alias("file_no"), "ordinal", number.alias("number"), mode.alias("mode"))
-    m, s, f = T.msf_parts(F.get("words", F.lit(2)))
-    indexes = (
-        good.where((F.col("kind") == "INDEX") & (F.col("last_owner") == F.col("owner")))
-        .select("path", "ordinal", "p", unsigned(F.get("words", F.lit(1)), 255).alias("number"), m.alias("minutes"), s.alias("seconds"), f.alias("frames"))
-        .where("number is not null and minutes is not null and seconds is not null and frames is not null")
-        .withColumn("sector", T.to_sectors(F.col("minutes"), F.col("seconds"), F.col("frames")))
+    text = F.regexp_replace("text", "\\A\ufeff", "") if strip_bom else F.col("text")
+    table = lambda each, **fields: sheets.select("path", F.inline(sheet_text.rows(each, fields, text)))
+    return Parsed(
+        table(sheet_text.files, file_no="bigint", filename="string", file_type="string"),
+        table(sheet_text.tracks, file_no="bigint", ordinal="bigint", number="bigint", mode="string"),
+        table(sheet_text.indexes, ordinal="bigint", p="int", number="bigint", minutes="bigint", seconds="bigint", frames="bigint", sector="bigint"),
+        table(sheet_text.errors, message="string").select("path", invalid_format(F.col("message")).alias("error")),
     )
-    return Parsed(files, tracks, indexes, errors)
-
-
-def _extra(upper: Column) -> Column:
-    found = F.lit(False)
-    for word in EXTRA_DIRECTIVES:
-        found = found | (upper == word) | upper.startswith(f"{word} ")
-    return found
 
 
 def compatibility(sheets: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """What of the extended dialect each sheet uses, a row a sheet, with is_standard, can_auto_fix and summary."""
-    rows = sheet_lines(sheets, keep=keep)
-    live = ~F.col("kind").isin("COMMENT", "END")
-    track = F.col("kind") == "TRACK"
-    rows = rows.withColumn("ordinal", F.count(F.when(track, 1)).over(_by_path().rowsBetween(Window.unboundedPreceding, 0)))
-    number, mode = _track_parts(F.col("words"), F.col("ordinal"))
-    found = F.when(track & T.standard_mode(mode).isNotNull(), F.struct("p", number.alias("number"), mode.alias("mode")))
-    any_ = lambda test: F.coalesce(F.max(live & test), F.lit(False))
-    audio = F.col("kind") == "AUDIOFILE"
-    out = rows.groupBy("path").agg(
-        F.max_by("upper", F.when(live & F.col("upper").isin(*DISC_TYPES), F.col("p"))).alias("disc_type_header"),
-        F.array_sort(F.collect_list(found)).alias("modes"),
-        any_(F.col("kind") == "DATAFILE").alias("has_datafile"),
-        any_(audio).alias("has_audiofile"),
-        any_(_extra(F.col("upper"))).alias("has_extra_directives"),
-        F.max(F.col("kind") == "COMMENT").alias("has_comments"),
-        any_(audio & F.col("line").contains("#")).alias("offset"),
-        *(F.max(c).alias(c) for c in keep),
-    )
     flags = ["has_datafile", "has_audiofile", "has_extra_directives", "has_comments"]
+    fields = {"disc_type_header": "string", "numbers": "array<bigint>", "modes": "array<string>", **dict.fromkeys(flags, "boolean"), "offset": "boolean"}
+    out = sheets.select("path", *keep, F.inline(sheet_text.rows(_compatibility, fields, "text")))
     out = out.select(
         "path",
         *keep,
         "disc_type_header",
-        F.transform(F.coalesce("modes", F.array()), lambda x: F.struct(x["number"], x["mode"])).alias("cdwin_track_modes"),
-        *(F.coalesce(c, F.lit(False)).alias(c) for c in flags),
+        F.zip_with("numbers", "modes", lambda n, m: F.struct(n.alias("number"), m.alias("mode"))).alias("cdwin_track_modes"),
+        *flags,
         F.when(F.col("offset"), UNFIXABLE).alias("unfixable_reason"),
     )
     used = F.col("disc_type_header").isNotNull() | (F.size("cdwin_track_modes") > 0)
@@ -169,125 +73,32 @@ def compatibility(sheets: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return out.select("*", (~used).alias("is_standard"), (used & F.col("unfixable_reason").isNull()).alias("can_auto_fix"), summary.alias("summary"))
 
 
-def convert(sheets: DataFrame) -> DataFrame:
-    """Rows (path, text, error): each sheet rewritten in the standard dialect.
+def _compatibility(text: str | None) -> list[tuple]:
+    return [sheet_text.compatibility(text)]
 
-    Output lines are the input's in another order.  A FILE, DATAFILE or AUDIOFILE line
-    (a "disc line") lets go the tracks before it: before its own output for FILE and the
-    sheet's end, after it for the others.  So every output line has a key (place of the
-    disc line, before/own/after, place of the track, place of the line), and the sheet
-    is the lines sorted by it.
-    """
-    rows = sheet_lines(sheets)
-    dropped = F.col("kind").isin("COMMENT", "OTHER") | F.col("upper").isin(*DISC_TYPES) | _extra(F.col("upper"))
-    rows = rows.where(~F.coalesce(dropped, F.lit(False)))
-    is_disc, is_track = F.col("kind").isin(*_FILES), F.col("kind") == "TRACK"
-    before, after = _by_path().rowsBetween(Window.unboundedPreceding, -1), _by_path().rowsBetween(1, Window.unboundedFollowing)
-    so_far = _by_path().rowsBetween(Window.unboundedPreceding, 0)
-    name, rest, broken = _file_parts(F.col("line"), F.col("kind"))
-    rows = rows.withColumns({"name": F.when(is_disc, name), "rest": F.when(is_disc, rest), "broken": is_disc & broken})
-    rows = rows.withColumn("msf", F.when(F.col("kind") == "DATAFILE", T.trailing_msf(F.col("rest"))))
-    rows = rows.withColumn("sectors", T.msf_to_sectors(F.col("msf")))
-    rows = rows.withColumn("auto", F.count(F.when(is_track, 1)).over(so_far))
-    number, mode = _track_parts(F.col("words"), F.col("auto"))
-    rows = rows.withColumns({"number": F.when(is_track, number), "mode": F.when(is_track, F.coalesce(T.standard_mode(mode), mode))})
-    rows = rows.withColumns(
-        {
-            "last_track": F.last(F.when(is_track, F.col("p")), True).over(before),
-            "last_mode": F.last("mode", True).over(before),
-            "last_disc": F.last(F.when(is_disc, F.struct("p", "kind", "name")), True).over(before),
-            "track": F.last(F.when(is_track, F.col("p")), True).over(so_far),
-        }
-    )
-    # Whether a track waits for its disc line here.
-    waits = F.col("last_track").isNotNull() & (F.col("last_disc").isNull() | (F.col("last_disc.p") < F.col("last_track")))
-    # A run of DATAFILE lines of one name shares a file, whose lengths add up.
-    same_run = (F.col("kind") == "DATAFILE") & (F.col("last_disc.kind") == "DATAFILE") & (F.col("last_disc.name") == F.col("name"))
-    length = F.col("sectors") * T.sector_size(F.coalesce("last_mode", F.lit("MODE2/2352")))
-    rows = rows.withColumns({"waits": waits, "new_run": F.when(is_disc, (~F.coalesce(same_run, F.lit(False))).cast("int")).otherwise(0), "length": length})
-    rows = rows.withColumn("run", F.sum("new_run").over(so_far))
-    rows = rows.withColumns(
-        {
-            "filled": F.coalesce(F.sum("length").over(_by_path("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "known_name": F.when(is_disc, F.row_number().over(_by_path("name")) > 1),
-        }
-    )
-    rows = rows.withColumn("next_disc", F.first(F.when(is_disc, F.struct("p", "kind", "filled")), True).over(after))
-    owned = F.col("kind").isin("INDEX", "PREGAP", "POSTGAP") & F.col("waits")
-    rows = rows.withColumn("own_lines", F.sum(owned.cast("int")).over(Window.partitionBy("path", "track")))
 
-    wave = F.col("upper").contains(".WAV")
-    word = F.get(F.split("rest", r"(?U)\s+"), F.lit(0))
-    plain = F.when((F.col("rest") == "") | F.col("rest").startswith("#"), F.when(wave, "WAVE").otherwise("BINARY")).when(F.upper(word).isin(*FILE_TYPES), word).otherwise("BINARY")
-    file_type = F.when(F.col("kind") == "AUDIOFILE", "WAVE").when(F.col("kind") == "DATAFILE", "BINARY").otherwise(plain)
-    file_line = F.concat(F.lit('FILE "'), "name", F.lit('" '), file_type)
-    shown = ~((F.col("kind") == "DATAFILE") & F.col("waits") & F.col("known_name"))
-    begins = F.when((F.col("next_disc.kind") == "DATAFILE") & ~F.col("waits") & (F.col("next_disc.filled") > 0), F.floor(F.col("next_disc.filled") / T.sector_size(F.col("mode")))).otherwise(F.lit(0))
-    end = F.coalesce("next_disc.p", F.lit(1 << 30))
-    phase = F.when(F.col("next_disc.kind").isin("DATAFILE", "AUDIOFILE"), 2).otherwise(0)
+def _convert(text: str | None) -> list[tuple]:
+    return [sheet_text.convert(text)]
 
-    def put(*key_and_text: Column) -> Column:
-        return F.struct(*(c.cast("int").alias(f"k{i}") for i, c in enumerate(key_and_text[:-1])), key_and_text[-1].alias("text"))
 
-    zero, one = F.lit(0), F.lit(1)
-    index_line = F.when(F.col("own_lines") == 0, F.concat(F.lit("    INDEX 01 "), T.sectors_to_msf(begins)))
-    lines = (
-        F.when(F.col("kind") == "END", F.array(put(zero, zero, zero, zero, F.lit(None).cast("string"))))
-        .when(is_disc, F.array(put(F.col("p"), one, zero, zero, F.when(shown, file_line))))
-        .when(is_track, F.array(put(end, phase, F.col("p"), zero, F.concat(F.format_string("  TRACK %02d ", "number"), "mode")), put(end, phase, F.col("p"), one, index_line)))
-        .when(owned, F.array(put(end, phase, F.col("track"), F.col("p"), F.concat(F.lit("    "), "line"))))
-        .otherwise(F.array(put(F.col("p"), one, zero, zero, F.concat(F.lit("    "), "line"))))
-    )
-    sheet = rows.groupBy("path").agg(
-        F.flatten(F.collect_list(lines)).alias("lines"),
-        F.min(F.when(F.col("broken"), F.struct("p", F.lit(OPEN_QUOTE).alias("m"))).when((F.col("kind") == "AUDIOFILE") & F.col("line").contains("#"), F.struct("p", F.lit(BYTE_OFFSET).alias("m"))))["m"].alias("problem"),
-    )
-    text = F.array_join(F.transform(F.array_sort(F.filter("lines", lambda x: x["text"].isNotNull())), lambda x: x["text"]), "\n")
-    out = sheet.select("path", "problem", text.alias("body"))
-    problem = F.coalesce("problem", F.when(F.coalesce("body", F.lit("")) == "", NO_OUTPUT))
-    return out.select("path", F.when(problem.isNull(), F.concat("body", F.lit("\n"))).alias("text"), invalid_format(problem).alias("error"))
+def _standardize(text: str | None) -> list[tuple]:
+    return [sheet_text.standardize(text)]
 
 
-def standardize(sheets: DataFrame) -> DataFrame:
-    """Rows (path, text, error): standard sheets as they are, others converted, unfixable ones an error."""
-    seen = compatibility(sheets, ("text",)).select("path", "text", "is_standard", "unfixable_reason")
-    rows = seen.join(convert(sheets).withColumnsRenamed({"text": "made", "error": "failure"}), "path")
-    stays, bad = F.col("is_standard"), F.col("unfixable_reason").isNotNull()
-    text = F.when(stays, F.col("text")).when(~bad, F.col("made"))
-    err = F.when(stays, F.lit(None)).when(bad, invalid_format(F.col("unfixable_reason"))).otherwise(F.col("failure"))
-    return rows.select("path", text.alias("text"), err.alias("error"))
+def _rewritten(sheets: DataFrame, each) -> DataFrame:
+    rows = sheets.select("path", F.inline(sheet_text.rows(each, {"made": "string", "problem": "string"}, "text")))
+    return rows.select("path", F.col("made").alias("text"), invalid_format(F.col("problem")).alias("error"))
 
 
-def layout_tracks(sheets: DataFrame, strip_bom: bool = False) -> DataFrame:
-    """A row a TRACK line: path, file_no, filename, ordinal, number, mode, begin (first INDEX 01), problem (error of the sheet).
+def convert(sheets: DataFrame) -> DataFrame:
+    """Rows (path, text, error): each sheet rewritten in the standard dialect.
 
-    A sheet with a problem, or without tracks, is one row with the problem alone; a sheet
-    may come with a problem, in a column ``error``.  All of it comes from windows over
-    one dealing of the lines by path.
+    A FILE, DATAFILE or AUDIOFILE line lets go the tracks before it: before its own
+    output for FILE and the sheet's end, after it for the others.
     """
-    given = ("error",) if "error" in sheets.columns else ()
-    events = _events(sheets, strip_bom, given)
-    is_file, is_track, is_end = F.col("kind").isin(*_FILES), F.col("kind") == "TRACK", F.col("kind") == "END"
-    name, _, broken = _file_parts(F.col("line"), F.col("kind"))
-    number, mode = _track_parts(F.col("words"), F.col("ordinal"))
-    sector = T.msf_to_sectors(F.get("words", F.lit(2)), 4294967295)
-    here = (F.col("kind") == "INDEX") & (F.col("last_owner") == F.col("owner")) & (unsigned(F.get("words", F.lit(1)), 255) == 1)
-    values = {"name": F.when(is_file, name), "broken": is_file & broken, "number": F.when(is_track, number), "mode": F.when(is_track, mode), "sector": F.when(here, sector)}
-    events = events.select("path", "p", "kind", "file_no", "owner", "ordinal", *(c.alias(n) for n, c in values.items()), *given)
-    sheet, one_file = Window.partitionBy("path"), Window.partitionBy("path", "owner")
-    one_track = Window.partitionBy("path", "ordinal").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    told = F.when(F.col("any_broken"), OPEN_QUOTE).when(F.col("files") == 0, NO_FILE).when(F.col("tracks") > 255, TOO_MANY).when(F.col("tracks") == 0, NO_TRACKS)
-    rows = events.select(
-        "*",
-        F.max("name").over(one_file).alias("filename"),
-        F.first("sector", True).over(one_track).alias("begin"),
-        F.max("broken").over(sheet).alias("any_broken"),
-        F.max("file_no").over(sheet).alias("files"),
-        F.max("ordinal").over(sheet).alias("tracks"),
-        *(F.max(c).over(sheet).alias("given") for c in given),
-    )
-    rows = rows.withColumn("problem", F.coalesce(*(F.col("given") for _ in given), invalid_format(told)))
-    good = F.col("problem").isNull()
-    rows = rows.where((good & is_track) | (~good & is_end))
-    own = {c: F.when(good, F.col(c)).alias(c) for c in ("filename", "ordinal", "number", "mode", "begin")}
-    return rows.select("path", F.when(good, F.col("owner")).alias("file_no"), *own.values(), "problem")
+    return _rewritten(sheets, _convert)
+
+
+def standardize(sheets: DataFrame) -> DataFrame:
+    """Rows (path, text, error): standard sheets as they are, others converted, unfixable ones an error."""
+    return _rewritten(sheets, _standardize)

@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import errors as E
-from ..constants import LEAD_IN, RAW_SECTOR
+from ..constants import LEAD_IN
 from ..functions import timecode as T
-from . import cue
+from . import sheet_text
 
 COLUMNS = ["path", "ordinal", "number", "absolute_offset", "length_sectors", "kind", "mode", "error"]
 
 
+_FIELDS = {"ordinal": "int", "number": "bigint", "absolute_offset": "bigint", "length_sectors": "bigint", "mode": "string", "error_kind": "string", "message": "string"}
+
+
+def _laid_out(sheets: DataFrame, sizes: DataFrame, text: Column, each) -> DataFrame:
+    named = sizes.where("filename is not null").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("filename", F.col("size_bytes").cast("bigint").alias("size")))).alias("sizes"))
+    rows = sheets.join(named, "path", "left")
+    found = sheet_text.rows(each, _FIELDS, text, F.col("sizes.filename"), F.col("sizes.size"))
+    if "error" in sheets.columns:
+        given = F.struct(*(F.lit(None).cast(kind).alias(name) for name, kind in list(_FIELDS.items())[:-2]), F.col("error.kind").alias("error_kind"), F.col("error.message").alias("message"))
+        found = F.when(F.col("error").isNotNull(), F.array(given)).otherwise(found)
+    rows = rows.select("path", F.inline(found))
+    good = F.col("error_kind").isNull()
+    error = F.when(~good, F.struct(F.col("error_kind").alias("kind"), "message"))
+    return rows.select("*", F.when(good, T.classify_mode(F.col("mode"))).alias("kind"), error.alias("error")).select(*COLUMNS)
+
+
 def cue_layout(sheets: DataFrame, sizes: DataFrame, strip_bom: bool = False) -> DataFrame:
     """A row a track, or one row with an error for a sheet that has no layout.
 
@@ -22,36 +38,13 @@ def cue_layout(sheets: DataFrame, sizes: DataFrame, strip_bom: bool = False) ->
     plus its own INDEX 01, and each other where the one before it ends.  Each sheet's
     first problem, in order of its files, is its error.
     """
-    size = sizes.select("path", "filename", F.col("size_bytes").cast("bigint").alias("size")).dropDuplicates(["path", "filename"])
-    rows = cue.layout_tracks(sheets, strip_bom).join(size, ["path", "filename"], "left").withColumnRenamed("problem", "sheet_problem")
-    in_file = Window.partitionBy("path", "file_no").orderBy("ordinal")
-    sheet = Window.partitionBy("path").orderBy("file_no", "ordinal")
-    rows = rows.withColumn("end", F.coalesce(F.lead("begin").over(in_file), F.floor(F.col("size") / RAW_SECTOR)))
-    rows = rows.withColumn("is_last", F.lead("ordinal").over(in_file).isNull()).withColumn("length", F.col("end") - F.col("begin"))
-    name = F.concat(F.lit("'"), "filename", F.lit("'"))
-    # The first of: the file's size, its alignment, a missing INDEX 01, a negative length.
-    problem = (
-        F.when(F.col("sheet_problem").isNotNull(), F.struct(F.lit(0).alias("step"), F.col("sheet_problem").alias("e")))
-        .when(F.col("size").isNull(), F.struct(F.lit(0).alias("step"), E.error("Io", F.concat(F.lit("BIN "), name, F.lit(": not found"))).alias("e")))
-        .when(F.col("size") % RAW_SECTOR != 0, F.struct(F.lit(0).alias("step"), E.invalid_format(F.concat(F.lit("BIN file "), name, F.lit(" size "), F.col("size").cast("string"), F.lit(f" is not a multiple of {RAW_SECTOR}"))).alias("e")))
-        .when(F.col("begin").isNull(), F.struct(F.lit(1).alias("step"), E.invalid_format(F.concat(F.lit("track "), F.col("number").cast("string"), F.lit(" missing INDEX 01 in CUE"))).alias("e")))
-        .when((F.col("length") < 0) & F.col("is_last"), F.struct(F.lit(2).alias("step"), E.invalid_format(F.concat(F.lit("BIN "), name, F.lit(" ends before track "), F.col("number").cast("string"), F.lit("'s INDEX 01"))).alias("e")))
-        .when(F.col("length") < 0, F.struct(F.lit(2).alias("step"), E.invalid_format("CUE INDEX 01 offsets are not monotonically increasing").alias("e")))
-    )
-    rows = rows.withColumn("problem", F.when(problem.isNotNull(), F.struct("file_no", problem["step"].alias("step"), "ordinal", problem["e"].alias("e"))))
-    whole = Window.partitionBy("path")
-    rows = rows.withColumn("first_problem", F.min("problem").over(whole))
-    start = F.lit(LEAD_IN) + F.first("begin").over(sheet) + F.coalesce(F.sum("length").over(sheet.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(sheet)
-    good = F.col("first_problem").isNull()
-    rows = rows.select("*", start.alias("absolute_offset"), place.alias("n")).where(good | (F.col("n") == 1))
-    values = {"ordinal": F.col("n"), "number": F.col("number"), "absolute_offset": F.col("absolute_offset"), "length_sectors": F.col("length"), "kind": T.classify_mode(F.col("mode")), "mode": F.col("mode")}
-    return rows.select("path", *(F.when(good, c).alias(name) for name, c in values.items()), F.col("first_problem.e").alias("error")).select(*COLUMNS)
+    text = F.regexp_replace("text", "\\A\ufeff", "") if strip_bom else F.col("text")
+    return _laid_out(sheets, sizes, text, sheet_text.layout)
 
 
 def read_layout(sheets: DataFrame, sizes: DataFrame) -> DataFrame:
     """Like :func:`cue_layout`, with extended sheets converted first; what cannot be converted is an error row."""
-    return cue_layout(cue.standardize(sheets), sizes)
+    return _laid_out(sheets.select("path", "text"), sizes, F.col("text"), sheet_text.read_layout)
 
 
 def lead_out(layout: DataFrame) -> DataFrame:

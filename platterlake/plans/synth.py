@@ -25,10 +25,12 @@ def le32(n: Column) -> Column:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per order and line number: path, n, frames (at least 1), mode."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("bigint").alias("frames"), F.min("l_returnflag").alias("flag"))
+    """Per order and line number: path, n, frames (at least 1), mode; dealt by path, once for all that follows."""
+    path = F.concat(F.lit("o"), F.coalesce(F.col("l_orderkey").cast("string"), F.lit("null")))
+    rows = table(spark, sf_dir, "lineitem").select(path.alias("path"), F.col("l_linenumber").cast("bigint").alias("n"), "l_quantity", "l_returnflag").repartition("path")
+    rows = rows.groupBy("path", "n").agg(F.sum("l_quantity").cast("bigint").alias("frames"), F.min("l_returnflag").alias("flag"))
     mode = F.when(F.col("flag") == "A", "MODE1_RAW").when(F.col("flag") == "N", "AUDIO").otherwise("MODE2_RAW")
-    return rows.select(F.format_string("o%d", "l_orderkey").alias("path"), F.col("l_linenumber").cast("bigint").alias("n"), "frames", mode.alias("mode"))
+    return rows.select("path", "n", "frames", mode.alias("mode"))
 
 
 def _sheets(rows: DataFrame, head: Column, line, tail: Column | None = None) -> DataFrame:
