@@ -10,40 +10,47 @@ from ..functions.names import unsigned
 TRACK_TAGS = ("CHTR", "CHT2")
 
 
+def _field(words: Column, field: str) -> Column:
+    return F.substr(F.get(F.filter(words, lambda w: w.startswith(f"{field}:")), F.lit(0)), F.lit(len(field) + 2))
+
+
 def meta_field(text: Column, field: str) -> Column:
     """Value of the first ``FIELD:value`` word, empty if nothing follows the colon; null if there is none."""
-    word = F.regexp_extract(text, rf"(?U)(?:\A|\s)({field}:\S*)", 1)
-    return F.when(word != "", F.substr(word, F.lit(len(field) + 2)))
+    return _field(F.split(text, r"(?U)\s+"), field)
 
 
 def is_data(track_type: Column) -> Column:
     return track_type.contains("MODE")
 
 
+def _entries(meta: DataFrame) -> DataFrame:
+    """All track entries; track_number and frames are both null unless both are whole numbers.
+
+    Each step names what the next uses more than once, and ``inline`` keeps conditions
+    on its columns above it: a text is split once, however often its fields are used.
+    """
+    rows = meta.where(F.col("tag").isin(*TRACK_TAGS)).select("path", "seq", F.split(F.regexp_replace("text", "\0+\\z", ""), r"(?U)\s+").alias("words"))
+    rows = rows.select("path", "seq", *(_field(F.col("words"), f).alias(f.lower()) for f in ("TRACK", "TYPE", "FRAMES")))
+    rows = rows.select("path", "seq", unsigned(F.col("track"), 4294967295).alias("track"), "type", unsigned(F.col("frames"), (1 << 62)).alias("frames"))
+    whole = F.col("track").isNotNull() & F.col("frames").isNotNull()
+    number, frames = F.when(whole, F.col("track")), F.when(whole, F.col("frames"))
+    return rows.select("path", "seq", F.inline(F.array(F.struct(number.alias("track_number"), F.coalesce("type", F.lit("UNKNOWN")).alias("track_type"), frames.alias("frames")))))
+
+
 def parse_tracks(meta: DataFrame) -> DataFrame:
     """Tracks from rows (path, seq, tag, text): track_number, track_type, frames, start_sector, seq.
 
     Entries of other tags, or without a whole number of track or frames, are left out.
     Tracks follow by number; each starts where the frames before it end.
     """
-    text = F.rtrim(F.regexp_replace("text", "\0+\\z", ""))
-    rows = meta.where(F.col("tag").isin(*TRACK_TAGS)).select(
-        "path",
-        "seq",
-        unsigned(meta_field(text, "TRACK"), 4294967295).alias("track_number"),
-        F.coalesce(meta_field(text, "TYPE"), F.lit("UNKNOWN")).alias("track_type"),
-        unsigned(meta_field(text, "FRAMES"), (1 << 62)).alias("frames"),
-    )
     before = Window.partitionBy("path").orderBy("track_number", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.where("track_number is not null and frames is not null")
+    rows = _entries(meta).where("track_number is not null")
     return rows.withColumn("start_sector", F.coalesce(F.sum("frames").over(before), F.lit(0)))
 
 
 def skipped_tracks(meta: DataFrame) -> DataFrame:
     """Per path: how many track entries :func:`parse_tracks` had to leave out."""
-    all_ = meta.where(F.col("tag").isin(*TRACK_TAGS)).groupBy("path").agg(F.count("*").alias("entries"))
-    read = parse_tracks(meta).groupBy("path").agg(F.count("*").alias("n"))
-    return all_.join(read, "path", "left").select("path", (F.col("entries") - F.coalesce("n", F.lit(0))).alias("skipped"))
+    return _entries(meta).groupBy("path").agg((F.count("*") - F.count("track_number")).alias("skipped"))
 
 
 def largest_data_track(tracks: DataFrame) -> DataFrame:

@@ -61,11 +61,11 @@ def sizes(sheets: DataFrame) -> DataFrame:
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, seq, tag, text): container tags of the tracks, one of each path without FRAMES."""
-    rows = tracks(spark, sf_dir)
-    good = rows.select("path", (100 - F.col("n")).alias("seq"), F.lit("CHT2").alias("tag"), F.concat(F.format_string("TRACK:%d TYPE:", "n"), "mode", F.format_string(" SUBTYPE:NONE FRAMES:%d PREGAP:0", "frames")).alias("text"))
-    bad = rows.where("n = 1").select("path", F.lit(1000).cast("bigint").alias("seq"), F.lit("CHTR").alias("tag"), F.lit("TRACK:9 TYPE:AUDIO").alias("text"))
-    other = bad.select("path", "seq", F.lit("GDDD").alias("tag"), F.lit("TRACK:8 FRAMES:5").alias("text"))
-    return good.unionByName(bad).unionByName(other)
+    text = F.concat(F.format_string("TRACK:%d TYPE:", "n"), "mode", F.format_string(" SUBTYPE:NONE FRAMES:%d PREGAP:0", "frames"))
+    entry = lambda seq, tag, text: F.struct(seq.cast("bigint").alias("seq"), F.lit(tag).alias("tag"), text.alias("text"))
+    good, bad, other = entry(100 - F.col("n"), "CHT2", text), entry(F.lit(1000), "CHTR", F.lit("TRACK:9 TYPE:AUDIO")), entry(F.lit(1000), "GDDD", F.lit("TRACK:8 FRAMES:5"))
+    more = F.when(F.col("n") == 1, F.array(bad, other)).otherwise(F.array().cast("array<struct<seq:bigint,tag:string,text:string>>"))
+    return tracks(spark, sf_dir).select("path", F.inline(F.concat(F.array(good), more)))
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
